@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import sharding
+from sluice.llm import decontamination, sharding
 from sluice.llm.common import table
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window of ten benchmark words covers, and the items found."""
+    out = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes; equal texts share a shard."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
@@ -17,6 +26,9 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_minimax_sharding": op9_minimax_sharding}
+QUERIES = {
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op9_minimax_sharding": op9_minimax_sharding,
+}
 
 ORACLES: dict[str, str] = {}
