@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontamination, sharding
+from sluice.llm import decontamination, packing, sharding
 from sluice.llm.common import table
 
 
@@ -18,6 +18,17 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised, in sequences of at most 2048 tokens."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048), capacity=2048)
+
+
 def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes; equal texts share a shard."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
@@ -28,6 +39,7 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_minimax_sharding": op9_minimax_sharding,
 }
 
