@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontamination, packing, sharding
+from sluice.llm import common, decontamination, language_id, packing, sharding
 from sluice.llm.common import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from those whose crc32(doc_id) mod 4 isn't 2."""
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.fit(docs, training="pmod(crc, 4) != 2"))
+    held_out = F.pmod(common.crc_of_id("doc_id"), F.lit(4)) == 2
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a window of ten benchmark words covers, and the items found."""
     out = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -38,6 +46,7 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_minimax_sharding": op9_minimax_sharding,
