@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination, language_id, packing, sharding
+from sluice.llm import common, decontamination, language_id, lm_scoring, packing, sharding
 from sluice.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048), capacity=2048)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model of those whose crc32(doc_id) mod 10 isn't 0."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"), held_out="pmod(crc, 10) = 0")
+
+
 def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes; equal texts share a shard."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
@@ -49,6 +54,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_minimax_sharding": op9_minimax_sharding,
 }
 

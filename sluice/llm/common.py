@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame, text: str = "text") -> int:
     """Size of the input by the planner's statistics, which cost nothing; counted where the planner has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size < 1 << 50:
         return size
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
