@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination, language_id, lm_scoring, packing, sharding
+from sluice.llm import common, decontamination, language_id, lm_scoring, packing, sharding, topk
 from sluice.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0, k=10)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -53,9 +58,25 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minimax_sharding": op9_minimax_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_top_k": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
