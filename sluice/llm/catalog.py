@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination, language_id, lm_scoring, packing, sharding, topk
+from sluice.llm import common, decontamination, language_id, lm_scoring, packing, pii, secrets, sharding, topk
 from sluice.llm.common import table
 
 
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and those that bootstrapped patterns add."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from those whose crc32(doc_id) mod 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
@@ -17,6 +22,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans, and live-looking keys by corpus-wide ownership."""
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a window of ten benchmark words covers, and the items found."""
     out = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -56,7 +66,9 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_contextual_pii": op2_contextual_pii,
     "op3_language_id": op3_language_id,
+    "op4_secret_ownership": op4_secret_ownership,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,

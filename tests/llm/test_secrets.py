@@ -1,0 +1,47 @@
+import hashlib
+import random
+import re
+
+from sluice.llm import secrets
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    text, out = text or "", []
+    for rank, (kind, regex, test) in enumerate(
+        [("assign", ASSIGN, lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
+    ):
+        out += [(m.start(), rank, m.end(), kind) for m in regex.finditer(text) if test(m)]
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(out)]
+
+
+def sample():
+    rng = random.Random(12)
+    parts = ["password", "PassWD", "api_key", "ApiKey", "token", '"', "'", " ", "=", ":", "abcdefghijkl", "0123456789abcdef", "AKIA", "ABCDEF0123456789", "é", "😀", "\n", "fade", "x/+y", "sECRET", "ſecret"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(300)]
+    return [*rows, (400, None), (401, ""), (402, "f" * 40000), (403, "token=" * 10000), (404, "AKIA" * 10000), (None, "token = abcdefghijklmn"), (5, rows[5][1])]
+
+
+def test_base_like_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in sample()], "doc_id long, text string, source string, h string, owner int")
+    got = sorted((r.doc_id or -1, r.base_sha256, r.n_assign + r.n_access + r.n_hex) for r in secrets.digest(secrets.find(docs)).collect())
+    assert got == sorted((i or -1, hashlib.sha256(",".join(s).encode()).hexdigest(), len(s)) for i, t in sample() for s in [brute(t)])
+
+
+LIVE, COPIED = "aB3dE5gH7jK9mN1pQ3sT5", "Zz9Yy8Xx7Ww6Vv5Uu4Tt3"
+
+
+def test_ownership_parts_examples_from_live_keys(spark):
+    rows = [(1, f"see {LIVE} there", "a"), (2, f"and {LIVE} here", "a"), (3, "plain words", "b"), (4, "password=0123456789abcd", "b"), (6, "x", None)]
+    rows += [(10 + i, f"copy {COPIED} it password=changeme12345", f"o{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.find(docs).collect()}
+    assert [s.value for s in got[1].key] == [LIVE] and got[1].n_live == 1
+    assert got[10].key == [] and got[10].n_example == 2 and got[10].n_live == 0
+    assert (got[4].n_live, got[4].n_example) == (1, 0) and (got[3].n_live, got[3].key) == (0, [])
+    assert "key:4:25" in {r.doc_id: r.spans for r in secrets.digest(secrets.find(docs)).collect()}[1]
+
+
+def test_empty(spark):
+    assert secrets.find(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
