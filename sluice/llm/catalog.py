@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination, language_id, lm_scoring, packing, pii, secrets, sharding, topk
+from sluice.llm import common, decontamination, jaccard_join, language_id, lm_scoring, packing, pii, secrets, sharding, topk
 from sluice.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a similarity of 0.8 on five-word n-grams."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"), threshold=0.8, words=5).select("doc_id", "class_id", "n_links")
+
+
 QUERIES = {
     "op2_contextual_pii": op2_contextual_pii,
     "op3_language_id": op3_language_id,
@@ -74,6 +79,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minimax_sharding": op9_minimax_sharding,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
