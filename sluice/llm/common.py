@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +49,6 @@ def crc_of_id(column: str | Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
-def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow with state made once in each task: make() returns the function of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
-        for batch in batches:
-            yield from each(batch)
-
-    return df.mapInArrow(run, schema)
+def schema_of(df: DataFrame, columns: Iterable[str], more: str) -> str:
+    """DDL of some columns of df, and of more."""
+    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), more])

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import common
 from sluice.llm import kernels as K
 
 WINDOW = 10
@@ -264,14 +265,14 @@ def cut(text: str | None, spans: list) -> str | None:
     return " ".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, n_words, n_hit, dropped: texts without hit spans, again until no window is left.
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns `carried`, n_words, n_hit, dropped: texts without hit spans, again until no window is left.
 
     dropped: more than `most_coverage` of the words were hit, or nothing but hit words was there.
     """
     spark = docs.sparkSession
     matchers = [spark.sparkContext.broadcast(Matcher(p, window)) for p in _parts(benchmark, "item_id", "text")]
-    id_type = docs.schema[doc_id].dataType.simpleString()
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
 
     def once(texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         data, offsets = K.utf8(texts)
@@ -300,12 +301,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_cove
                     {
                         "doc_id": rows.column("doc_id"),
                         "text": rows.column("text") if texts is None else pa.array(texts, pa.string()),
+                        **{c: rows.column(c) for c in carried},
                         "n_words": pa.array(n_words, pa.int64()),
                         "n_hit": pa.array(n_hit, pa.int64()),
                         "dropped": pa.array(n_hit > most_coverage * np.maximum(n_words, 1), pa.bool_()),
                     }
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, text string, n_words long, n_hit long, dropped boolean"
-    )
+    return source.mapInArrow(run, common.schema_of(source, ("doc_id", "text", *carried), "n_words long, n_hit long, dropped boolean"))

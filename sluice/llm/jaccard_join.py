@@ -276,19 +276,20 @@ def _verified(t: pa.Table, cell: np.ndarray, least: list[int], words: int, thres
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tolerance: float = TOLERANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h, class_id, n_links: one row for each row.
+    """doc_id, h, class_id, n_links, leads: one row for each row.
 
     Two rows are linked if the Jaccard similarity of their sets of `words` consecutive words (A-Z lower-cased) reaches the
     threshold. n_links is the number of other rows that a row is linked with, and class_id the least doc_id of the rows that
     it hangs together with by links. A text of fewer words is one n-gram. A null text, or one without words, has no links
     and its own id as class. Repeated rows are copies of each other. Null ids are left out of a class's least id, and a class
-    of null ids only has a null id. h is the hash of the text (of an empty one for null). Only the named columns are read.
+    of null ids only has a null id. leads marks the rows of a class with the least id and, among these, text hash: they are
+    repeated rows if there are several. h is the hash of the text (of an empty one for null). Only the named columns are read.
     """
     least = least_matches(threshold, tolerance)
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     signed = common.written(_signed(whole, words), "join-signed")
     nodes = signed.where(F.col("key").isNotNull()).groupBy("key")
-    nodes = nodes.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("h", "doc_id")).alias("one"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = nodes.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("first"), F.min(F.struct("h", "doc_id")).alias("one"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = common.written(nodes, "join-nodes")
 
     band = nodes.select("key", F.explode("bands").alias("band"))
@@ -309,11 +310,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tole
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     classes = common.written(classes.join(counts, "key").join(nodes.select("key", "n", "first"), "key"), "join-classes")
-    ids = common.written(classes.groupBy("root").agg(F.min("first").alias("class_id")), "join-ids")
-    classes = common.written(classes.join(ids, "root").select("key", "class_id", "links"), "join-named")
+    ids = common.written(classes.groupBy("root").agg(F.min("first").alias("leader")), "join-ids")
+    classes = common.written(classes.join(ids, "root").select("key", "leader", "links"), "join-named")
     named = nodes.select("key", "n", "first").join(classes, "key", "left")
-    named = named.select("key", F.when(F.col("links").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    named = named.select("key", F.coalesce("leader", "first").alias("leader"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     named = common.written(named, "join-result")
-    found = signed.where(F.col("key").isNotNull()).join(named, "key").select("doc_id", "h", "class_id", "n_links")
-    alone = signed.where(F.col("key").isNull()).select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    found = signed.where(F.col("key").isNotNull()).join(named, "key")
+    leads = F.col("doc_id").eqNullSafe(F.col("leader.id")) & (F.col("h") == F.col("leader.h"))
+    found = found.select("doc_id", "h", F.col("leader.id").alias("class_id"), "n_links", leads.alias("leads"))
+    alone = signed.where(F.col("key").isNull()).select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("leads"))
     return found.unionByName(alone)

@@ -256,20 +256,20 @@ def fit(docs: DataFrame, training: str = "pmod(crc, 4) != 2", sample_chars: int
     return train(texts, order)
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score, entropy, rejected: one row for each row.
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `carried`, lang_pred, score, entropy, rejected: one row for each row.
 
     lang_pred is `und`, with score 0, entropy 0 and rejected, for a null text or one without letters (or if nothing was
     learned). Otherwise score is the winner's share of exp(-10 x cross-entropy) over the languages; ties go to the first
     language in sorted order. Only the named columns are read.
     """
-    id_type = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *carried)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            data, offsets = K.utf8(batch.column("text"))
+            data, offsets = K.utf8(batch.column("_text"))
             for a, b in K.blocks(offsets, K.BLOCK // 2):
                 entropy, size = model.entropies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 known = (size > 0) & (len(model.languages) > 0)
@@ -280,10 +280,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                     names, rejected = np.array(model.languages, object)[best], model.rejects(least, best, size)
                 else:
                     names, score, least, rejected = np.full(len(size), UNKNOWN, object), np.zeros(len(size)), np.zeros(len(size)), np.ones(len(size), bool)
-                columns = {"doc_id": batch.column("doc_id").slice(a, b - a)}
-                if keep_text:
-                    columns["text"] = batch.column("text").slice(a, b - a)
-                columns |= {
+                columns = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", *carried)} | {
                     "lang_pred": pa.array(np.where(known, names, UNKNOWN), pa.string()),
                     "score": pa.array(np.where(known, score, 0.0), pa.float64()),
                     "entropy": pa.array(np.where(known, least, 0.0), pa.float64()),
@@ -291,5 +288,4 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 }
                 yield pa.RecordBatch.from_pydict(columns)
 
-    kept = f"doc_id {id_type}" + ", text string" * keep_text
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"{kept}, lang_pred string, score double, entropy double, rejected boolean")
+    return rows.mapInArrow(run, common.schema_of(rows, ("doc_id", *carried), "lang_pred string, score double, entropy double, rejected boolean"))

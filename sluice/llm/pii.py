@@ -56,11 +56,11 @@ def patterns(text: Column) -> dict:
     }
 
 
-def base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, h, text and a column of spans for each base kind. h tells rows of one id with different texts apart."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, h, text, the columns `carried` and a column of spans for each base kind. h tells rows of one id with different texts apart."""
+    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     df = spans.matches(df.withColumn("h", F.xxhash64("text")), F.col("text"), patterns(F.col("text")))
-    return df.select("doc_id", "h", *(["text"] if keep_text else []), *KINDS)
+    return df.select("doc_id", "h", *(["text"] if keep_text else []), *carried, *KINDS)
 
 
 def _contexts(text: Column, span: Column) -> Column:
@@ -118,14 +118,14 @@ def learned(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEED
     return hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(one)).cast(spans.SPAN).alias(FOUND))
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, **options) -> DataFrame:
-    """doc_id, h, (text,) email, ip, card, phone, found: spans (start, end, value) of each row's whole text.
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, carried: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, h, (text, the columns `carried`,) email, ip, card, phone, found: spans (start, end, value) of each row's whole text.
 
     One row for each row. A null text is an empty one, without spans. Repeated rows each have their spans, and count once
     in the graph. Tables without seeds, or empty ones, add nothing. Only the named columns are read.
     """
     more = learned(docs, doc_id=doc_id, text=text, **options).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    rows = base(docs, doc_id, text, keep_text)
+    rows = base(docs, doc_id, text, keep_text, carried)
     on = rows["doc_id"].eqNullSafe(more["_id"]) & (rows["h"] == more["_h"])
     out = rows.join(more, on, "left").drop("_id", "_h")
     return out.withColumn(FOUND, F.coalesce(F.col(FOUND), F.array().cast(spans.SPAN)))
@@ -137,7 +137,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, text, spans.listed([*KINDS, FOUND]).alias("spans"), F.size(FOUND).cast("long").alias("n_found"))
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, text: all spans replaced by their kind in brackets. A null text becomes an empty one."""
-    out = find(docs, doc_id, text, keep_text=True, **options)
-    return out.select("doc_id", spans.replaced(F.col("text"), [*KINDS, FOUND]).alias("text"))
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, text, the columns `carried`: all spans replaced by their kind in brackets. A null text becomes an empty one."""
+    out = find(docs, doc_id, text, keep_text=True, carried=carried, **options)
+    return out.select("doc_id", spans.replaced(F.col("text"), [*KINDS, FOUND]).alias("text"), *carried)

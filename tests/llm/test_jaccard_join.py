@@ -63,15 +63,17 @@ def test_like_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(J, "VERIFY_BLOCK", block)
     rows = sample()
     docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, key int, h string, n string")
-    got = sorted([(r.doc_id, r.class_id, r.n_links) for r in J.join(docs).collect()], key=str)
-    assert got == brute(rows)
+    out = J.join(docs).collect()
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in out], key=str) == brute(rows)
+    leaders = [(r.class_id, r.h) for r in out if r.leads and r.class_id is not None]
+    assert len(leaders) == len(set(leaders)) and {c for c, _ in leaders} == {r.class_id for r in out if r.class_id is not None}
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.join(docs).count() == 0
     docs = spark.createDataFrame([(1, None)], docs.schema)
-    assert [tuple(r)[2:] for r in J.join(docs).collect()] == [(1, 0)]
+    assert [tuple(r)[2:] for r in J.join(docs).collect()] == [(1, 0, True)]
 
 
 def test_pruning_follows_the_posterior():
