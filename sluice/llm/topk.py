@@ -19,7 +19,8 @@ from pyspark.sql import Window
 from sluice.llm import common
 
 SCALE = 1024
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 20_000, 2_048, 64
+LOWEST = -(2**63) + 1  # stands for no score; its negative is a 64-bit number too
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 20_000, 2_048, 512
 
 
 class BallTree:
@@ -55,6 +56,8 @@ class BallTree:
             self.rows.append(None)
             todo += [(rows[order[half:]], node, 1), (rows[order[:half]], node, 0)]
         self.centres, self.radii = np.array(centres), np.array(radii)
+        self.leaf = np.array([c is None for c in self.children])
+        self.pairs = np.array([c or (0, 0) for c in self.children])
         # Rounding must never lower a bound.
         scale = np.abs(vectors).max(initial=1.0)
         self.slack = 1e-9 * (1.0 + scale * np.sqrt(vectors.shape[1]))
@@ -71,7 +74,7 @@ def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return (queries @ vectors.T).astype(np.int64)
     full = queries.astype(object) @ vectors.T.astype(object)
-    return np.array([[min(max(int(x), -(2**63)), 2**63 - 1) for x in row] for row in full.tolist()], np.int64).reshape(len(queries), len(vectors))
+    return np.array([[min(max(int(x), LOWEST), -LOWEST) for x in row] for row in full.tolist()], np.int64).reshape(len(queries), len(vectors))
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +83,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     floor: a score for each query that its kth best is known to reach; vectors below it may be left out.
     """
     n = len(queries)
-    best_score = np.full((n, k), np.iinfo(np.int64).min, np.int64)
+    best_score = np.full((n, k), LOWEST, np.int64)
     best_id = np.full((n, k), np.iinfo(np.int64).max, np.int64)
     filled = np.zeros(n, np.int64)
     if n and len(vectors):
@@ -93,11 +96,11 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
         while len(at):
             keep = bound >= limit[at]
             at, node, bound = at[keep], node[keep], bound[keep]
-            leaf = np.array([tree.children[i] is None for i in range(len(tree.children))])[node]
+            leaf = tree.leaf[node]
             leaves.append((at[leaf], node[leaf], bound[leaf]))
             at, node = at[~leaf], node[~leaf]
-            pairs = np.array([tree.children[i] or (0, 0) for i in range(len(tree.children))])[node]
-            at, node = np.concatenate([at, at]), np.concatenate([pairs[:, 0], pairs[:, 1]]) if len(pairs) else node
+            pairs = tree.pairs[node]
+            at, node = np.concatenate([at, at]), np.concatenate([pairs[:, 0], pairs[:, 1]])
             bound = tree.bounds(queries[at], norms[at], node)
         at, node, bound = (np.concatenate([x[i] for x in leaves]) for i in range(3))
         order = np.lexsort((node, -bound, at))
@@ -111,10 +114,13 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
                 who, rows = live[now == leaf], tree.rows[leaf]
                 s = exact_scores(queries[who], vectors[rows])
                 own = query_ids[who][:, None] == ids[rows][None, :]
-                s[own] = np.iinfo(np.int64).min
+                s[own] = LOWEST
                 names = np.where(own, np.iinfo(np.int64).max, ids[rows][None, :])
+                if s.shape[1] > k:  # what is below the kth score here can't be among the best
+                    some = (s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]).any(axis=0)
+                    s, names = s[:, some], names[:, some]
                 s, names = np.concatenate([best_score[who], s], 1), np.concatenate([best_id[who], names], 1)
-                first = np.lexsort((names, -(s.astype(np.float64)), ), axis=1) if np.abs(s).max() < 2**53 else np.array([sorted(range(s.shape[1]), key=lambda j: (-int(s[i, j]), int(names[i, j]))) for i in range(len(s))])
+                first = np.lexsort((names, -s), axis=1)
                 first = first[:, :k]
                 best_score[who], best_id[who] = np.take_along_axis(s, first, 1), np.take_along_axis(names, first, 1)
                 filled[who] = np.minimum(k, filled[who] + (~own).sum(axis=1))

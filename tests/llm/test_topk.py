@@ -37,7 +37,7 @@ def test_like_brute_force(spark, monkeypatch, shard_rows):
 def test_scores_beyond_doubles(spark):
     rows = [(0, [1e9, 3.0]), (1, [1e9, 1.0]), (2, [1e9, 2.0]), (3, [-1e9, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    cut = [(q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in brute(rows)]
+    cut = [(q, r, i, min(max(s, 1 - 2**63), 2**63 - 1)) for q, r, i, s in brute(rows)]
     assert [x[3] for x in sorted(tuple(r) for r in topk.top_k(df).collect())] == [x[3] for x in cut]
 
 
@@ -58,7 +58,7 @@ def test_bounds_hold_and_prune():
     real = topk.exact_scores
     topk.exact_scores = lambda a, b: calls.append(len(a) * len(b)) or real(a, b)
     try:
-        topk.search(np.arange(5), q, np.arange(len(vectors)), vectors, 10, np.full(5, -np.inf))
+        topk.search(np.arange(5), q, np.arange(len(vectors)), vectors, 10, np.full(5, -np.inf), 64)
     finally:
         topk.exact_scores = real
     assert sum(calls) < 0.5 * 5 * len(vectors)
