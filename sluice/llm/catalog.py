@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination, jaccard_join, language_id, lm_scoring, packing, pii, secrets, sharding, topk
+from sluice.llm import common, decontamination, jaccard_join, language_id, lm_scoring, packing, pii, quality, secrets, sharding, topk
 from sluice.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak label and quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_label", "score", "good")
+
+
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans, and those that bootstrapped patterns add."""
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
@@ -71,6 +76,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_contextual_pii": op2_contextual_pii,
     "op3_language_id": op3_language_id,
     "op4_secret_ownership": op4_secret_ownership,
