@@ -74,10 +74,11 @@ class LabelModel:
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.8) -> LabelModel:
-    """Accuracies from vote patterns and their counts. The start takes each labeller to be right four times of five, which
-    also tells which class is which; a prior of a few counts keeps all rates positive. A class's abstentions are fitted too."""
+    """Accuracies from vote patterns and their counts. The start takes a bad vote to be rare on good texts, and a
+    good vote to be common on bad ones, as each labeller knows one kind of fault only; that also tells which class is which.
+    A prior of a few counts keeps all rates positive. Abstentions of each class are fitted too."""
     n = votes.shape[1]
-    start = np.tile(np.array([[0.3, 0.56, 0.14], [0.3, 0.14, 0.56]]), (n, 1, 1))
+    start = np.tile(np.array([[0.2, 0.3, 0.5], [0.2, 0.02, 0.78]]), (n, 1, 1))
     model = LabelModel(prior, start)
     total = max(counts.sum(), 1)
     for _ in range(rounds):
