@@ -86,8 +86,8 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     seeds = F.concat(*(F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(True).alias("seed"))) for k in KINDS))
     others = F.filter(F.col("candidate"), lambda s: ~spans.overlaps(s, KINDS))
     others = F.transform(others, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("seed")))
-    df = df.where(sum((F.size(k) for k in [*KINDS, "candidate"]), F.lit(0)) > 0)
-    df = df.select("doc_id", "h", "text", F.explode(F.concat(seeds, others)).alias("s"))
+    # explode_outer: from explode() the planner infers a filter that would evaluate all spans again below.
+    df = df.select("doc_id", "h", "text", F.explode_outer(F.concat(seeds, others)).alias("s")).where(F.col("s").isNotNull())
     return df.select("doc_id", "h", "s.*", _contexts(F.col("text"), F.col("s")).alias("patterns"))
 
 
