@@ -56,10 +56,10 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], object]) ->
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
         return action()
@@ -69,4 +69,4 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], object]) ->
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)

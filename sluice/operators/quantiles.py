@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 
 def percentile(df: DataFrame, value: str | Column, p: float, family: Sequence[str] = ()) -> DataFrame:
-    """The value of rank max(1, round half up(p * n)) in rising order, exactly; no row for an empty input. Nulls don't count.
+    """The value of rank max(1, round half up(p * n)) in rising order, exactly; null for an empty input (no row, by family). Nulls don't count.
 
     Equal values are counted before any ordering, so that only the histogram is ordered. Without families, that of the whole
     table is ordered in one task, as is any exact rank.

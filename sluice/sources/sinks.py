@@ -47,7 +47,7 @@ def write_text(df: DataFrame, path: str, column: str = "value", compression: str
 
 def write_csv(df: DataFrame, path: str, separator: str = ",", header: bool = False, compression: str = "none", mode: str = "errorifexists") -> None:
     """CSV that keeps blanks, and null (nothing) apart from "" (quoted)."""
-    options = {"sep": separator, "header": str(header).lower(), "compression": compression, "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    options = {"sep": separator, "header": str(header).lower(), "compression": compression, "escape": "\"", "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     df.write.mode(mode).options(**options).csv(path)
 
 
