@@ -31,7 +31,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, BAND_ROWS, STEP = 24, 4, 16
 HASHES = BANDS * BAND_ROWS
 #: Most members of a block of candidates, and of a block to verify, which holds texts.
-CANDIDATE_BLOCK, VERIFY_BLOCK = 512, 128
+CANDIDATE_BLOCK, VERIFY_BLOCK = 512, 64
 MOST_PAIRS = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(77))
