@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from sluice.llm import kernels as K
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-MOST_PIECES = 1_000_000
+MOST_PIECES = 200_000
 # Unicode's White_Space characters.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # The endings after an apostrophe that the tokenizer's pattern takes as pieces.
