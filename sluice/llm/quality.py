@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sluice.llm import common
 from sluice.llm import kernels as K
 
-SAMPLE_ROWS, BITS, EPOCHS, RATE, PENALTY = 6_000, 18, 12, 0.5, 1e-5
+SAMPLE_ROWS, BITS, EPOCHS, RATE, PENALTY = 4_000, 18, 12, 0.5, 1e-5
 ABSTAIN, BAD, GOOD = -1, 0, 1
 DOUBLED = np.uint64(0x27D4EB2F165667C5)
 #: Values of bytes by their class.
@@ -125,7 +125,11 @@ class Scorer:
 
 def train_scorer(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, penalty: float = PENALTY, bits: int = BITS) -> Scorer:
     """Logistic regression with soft labels, by AdaGrad in batches of 64 texts."""
-    ids, begin = features(*K.utf8(pa.array(texts, pa.string())), bits)
+    # A hundred texts at a time, which bounds the work space of hashing.
+    parts = [features(*K.utf8(pa.array(texts[i : i + 100], pa.string())), bits) for i in range(0, len(texts), 100)]
+    ids = np.concatenate([p[0].astype(np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]) if parts else np.zeros(1, np.int64)
+    del parts
     scorer = Scorer(np.zeros(1 << bits), 0.0)
     squares, bias_square = np.full(1 << bits, 1e-8), 1e-8
     rng = np.random.default_rng(1)
