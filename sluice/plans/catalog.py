@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +42,10 @@ def _left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), "c_name")
 
 
-def _rights(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def _rights(spark: SparkSession, sf_dir: str, whole: bool = False) -> list[DataFrame]:
+    """whole: events of all users, else of those that the SQL of the first queries names."""
     orders = table(spark, sf_dir, "orders").where("o_orderpriority like '1%' and o_orderstatus = 'F'")
-    events = table(spark, sf_dir, "events").where("event_type = 'error' and user_id < 100")
+    events = table(spark, sf_dir, "events").where("event_type = 'error'" + " and user_id < 100" * (not whole))
     return [orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id")), events.select(F.col("user_id").alias("k"), F.col("event_id").alias("id"))]
 
 
@@ -53,6 +55,7 @@ _INPUTS = """
     r1 AS (SELECT user_id AS k, event_id AS id FROM events WHERE event_type = 'error' AND user_id < 100),
     a AS (SELECT k, count(*) AS n FROM l GROUP BY k), b AS (SELECT k, count(*) AS n, sum(id) AS s FROM r0 GROUP BY k),
     c AS (SELECT k, count(*) AS n, sum(id) AS s FROM r1 GROUP BY k)"""
+_WHOLE_INPUTS = _INPUTS.replace(" AND user_id < 100", "")
 _KEEPS = {
     JoinMode.LEFT: "n_left > 0",
     JoinMode.INNER: "n_left > 0 AND n_right0 + n_right1 > 0",
@@ -70,15 +73,15 @@ def _counted(records: DataFrame) -> DataFrame:
 
 
 def _record_join(mode: JoinMode, ordered: bool) -> Callable:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _counted(joins.join_records(_left(spark, sf_dir), _rights(spark, sf_dir), "k", "k", mode, ordered))
+    def query(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+        return _counted(joins.join_records(_left(spark, sf_dir), _rights(spark, sf_dir, whole), "k", "k", mode, ordered))
 
     return query
 
 
 def _lookup_join(mode: JoinMode) -> Callable:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _counted(joins.lookup_join(_left(spark, sf_dir), _rights(spark, sf_dir), "k", "k", mode))
+    def query(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+        return _counted(joins.lookup_join(_left(spark, sf_dir), _rights(spark, sf_dir, whole), "k", "k", mode))
 
     return query
 
@@ -104,9 +107,9 @@ def _lookup_sql(mode: JoinMode) -> str:
         SELECT CAST(k AS BIGINT) AS k, CAST(n_left AS BIGINT) AS n_left, n_right0, n_right1, id_sum FROM j WHERE {_KEEPS[mode]} {alone * (mode is JoinMode.OUTER)}"""
 
 
-def right_only_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def right_only_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Records without a left input."""
-    return _counted(joins.join_records(None, _rights(spark, sf_dir), None, "k"))
+    return _counted(joins.join_records(None, _rights(spark, sf_dir, whole), None, "k"))
 
 
 def flat_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +117,9 @@ def flat_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.flat_join(left, right, "k", "rk", "left").select("k", "c_name", "id")
 
 
-def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flat_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Nested records taken apart again."""
-    records = joins.join_records(_left(spark, sf_dir), _rights(spark, sf_dir), "k", "k", JoinMode.INNER)
+    records = joins.join_records(_left(spark, sf_dir), _rights(spark, sf_dir, whole), "k", "k", JoinMode.INNER)
     return joins.flat_records(records.where(F.map_contains_key("right", F.lit(0)))).select(F.col("key").alias("k"), "left.c_name", "right.id")
 
 
@@ -235,17 +238,17 @@ def sorted_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.sorted_distinct_lines(table(spark, sf_dir, "part").select(F.col("p_type").alias("value")))
 
 
-def _keys(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    left, (r0, r1) = _left(spark, sf_dir), _rights(spark, sf_dir)
+def _keys(spark: SparkSession, sf_dir: str, whole: bool = False) -> list[DataFrame]:
+    left, (r0, r1) = _left(spark, sf_dir), _rights(spark, sf_dir, whole)
     return [df.select(F.col("k").cast("long").alias("k")) for df in (left, r0, r1)]
 
 
-def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setops.union(_keys(spark, sf_dir), ordered=True)
+def set_union(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return setops.union(_keys(spark, sf_dir, whole), ordered=True)
 
 
-def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setops.intersect(_keys(spark, sf_dir), ordered=True)
+def set_intersect(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return setops.intersect(_keys(spark, sf_dir, whole), ordered=True)
 
 
 def set_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,21 +256,21 @@ def set_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setops.subtract(right, left, ordered=True)
 
 
-def set_by_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+def set_by_membership(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Keys of exactly two of three inputs."""
-    return setops.by_membership(_keys(spark, sf_dir), lambda tags: F.size(tags) == 2)
+    return setops.by_membership(_keys(spark, sf_dir, whole), lambda tags: F.size(tags) == 2)
 
 
-def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setops.merge(_keys(spark, sf_dir), "k")
+def merge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return setops.merge(_keys(spark, sf_dir, whole), "k")
 
 
-def concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setops.concat(_keys(spark, sf_dir), "k")
+def concat(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return setops.concat(_keys(spark, sf_dir, whole), "k")
 
 
-def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setops.union_all(_keys(spark, sf_dir))
+def union_all(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return setops.union_all(_keys(spark, sf_dir, whole))
 
 
 def hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,6 +339,12 @@ for _mode in JoinMode:
     QUERIES[f"record_join_{_mode.value}"] = _record_join(_mode, False)
     QUERIES[f"sorted_join_{_mode.value}"] = _record_join(_mode, True)
     QUERIES[f"lookup_join_{_mode.value}"] = _lookup_join(_mode)
+#: Queries of `_rights`, which run over the events of all users too, as whole_...
+_BOUNDED = [
+    "right_only_records", "flat_records", "set_union", "set_intersect", "set_by_membership", "merge", "concat", "union_all",
+    *(f"{kind}_join_{m.value}" for m in JoinMode for kind in ("record", "sorted", "lookup")),
+]
+QUERIES |= {f"whole_{name}": partial(QUERIES[name], whole=True) for name in _BOUNDED}
 
 _SLIDES = "time_bucket(INTERVAL '10 minutes', ts) - CAST(i AS INTEGER) * INTERVAL '10 minutes'"
 _THREE = f"WITH {_INPUTS}, u AS (SELECT DISTINCT 0 AS t, k FROM l UNION ALL SELECT DISTINCT 1, k FROM r0 UNION ALL SELECT DISTINCT 2, k FROM r1)"
@@ -423,3 +432,4 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3""",
     "generated": "SELECT i * i AS square FROM range(1000) t(i)",
 } | {f"{kind}_join_{m.value}": (_lookup_sql if kind == "lookup" else _record_sql)(m) for m in JoinMode for kind in ("record", "sorted", "lookup")}
+ORACLES |= {f"whole_{name}": ORACLES[name].replace(_INPUTS, _WHOLE_INPUTS) for name in _BOUNDED}
