@@ -76,3 +76,13 @@ def test_held_out_accuracy_and_edge_rows(spark):
 
 def test_empty(spark):
     assert Q.classify(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_sample_has_six_thousand_rows_of_both_kinds(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, text(rng, i % 2 == 0)) for i in range(9_000)]
+    seen = []
+    monkeypatch.setattr(Q, "train_scorer", lambda texts, labels: seen.append(labels) or Q.Scorer(np.zeros(1 << Q.BITS), 0.0))
+    Q.classify(spark.createDataFrame(rows, "doc_id long, text string"))
+    for kind in (seen[0] >= 0.5, seen[0] < 0.5):
+        assert abs(kind.sum() - 3_000) < 200
