@@ -4,7 +4,8 @@ Seeds are the base spans (email, ip, card, phone). Their contexts induce lexical
 before with the word after, and a label before (a word that ends with a colon, equals or number sign). Candidates are other
 identifier-like strings of several digits. Patterns and the distinct strings in their contexts form a graph. In each round a
 pattern's score is the mean of its strings' scores, damped, and a string's score is the noisy-or of its patterns'; seeds
-keep score 1. Strings in a pattern of high score with enough different seeds are found too, as kind `found`.
+keep score 1. A pattern scores if it has enough different strings that are seeds or reach the least score, so strings found
+in one round support new patterns in the next. Strings in a pattern of high score are found too, as kind `found`.
 """
 
 from __future__ import annotations
@@ -91,13 +92,13 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return df.select("doc_id", "h", "s.*", _contexts(F.col("text"), F.col("s")).alias("patterns"))
 
 
-def _scored_patterns(edges: DataFrame, rounds: int, least_seeds: int) -> DataFrame:
-    """pattern, score, seeds. edges: distinct pattern, value, seed. Both sides of each join are written tables, so that a
-    pattern or value with many edges can be split."""
+def _scored_patterns(edges: DataFrame, rounds: int, least_seeds: int, least_score: float = LEAST_SCORE) -> DataFrame:
+    """pattern, score, seeds: the number of its strings that are seeds or reach least_score. edges: distinct pattern, value,
+    seed. Both sides of each join are written tables, so that a pattern or value with many edges can be split."""
     strings = common.written(edges.groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("s")), "pii-strings")
     for i in range(rounds):
         scored = edges.join(strings, "value").groupBy("pattern")
-        scored = scored.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+        scored = scored.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"), F.sum((F.col("seed") | (F.col("s") >= least_score)).cast("int")).alias("seeds"))
         score = F.when(F.col("seeds") >= least_seeds, F.col("s") / (F.col("n") + DAMPING)).otherwise(0.0)
         table = common.written(scored.select("pattern", score.alias("score"), "seeds"), "pii-patterns")
         if i + 1 < rounds:
@@ -111,7 +112,7 @@ def learned(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEED
     rows = common.written(occurrences(docs, doc_id, text), "pii-occurrences")
     exploded = rows.withColumn("pattern", F.explode("patterns"))
     edges = common.written(exploded.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    good = _scored_patterns(edges, rounds, least_seeds).where((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds))
+    good = _scored_patterns(edges, rounds, least_seeds, least_score).where((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds))
     good = common.written(good.select("pattern"), "pii-good")
     hits = exploded.where(~F.col("seed")).join(good, "pattern")
     one = F.struct("start", "end", "value")

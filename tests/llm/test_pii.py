@@ -101,3 +101,14 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(docs).count() == 0
     assert pii.digest(pii.find(docs.union(spark.createDataFrame([(None, None)], docs.schema)))).first()["spans"] == ""
+
+
+def test_found_strings_support_patterns_of_a_second_generation(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = labelled() + [(300 + i, f"{word()} badge: AB-{10000 + i} {word()} more") for i in range(3)] + [(310, f"{word()} badge: QX-77123 {word()} more")]
+    rows += [(320 + i, f"{word()} ticket: QX-5512{i} {word()}") for i in range(4)]
+    got = {r.doc_id: [s.value for s in r.found] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [f"AB-{10000 + i % 100}"] for i in (100, 101, 102, 300, 301, 302))
+    assert got[310] == ["QX-77123"]
+    assert not any(got[320 + i] for i in range(4))
