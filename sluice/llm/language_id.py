@@ -6,8 +6,8 @@ for each order, with a column of log probabilities for each language; a position
 has seen, with the back-off weights of the longer contexts. The language with the lowest cross-entropy a character wins. Its cross-entropy is compared with that of training
 texts set aside, at a similar length, to reject what looks like none of the languages.
 
-The models are fitted on whole texts sampled by id hash, of about `sample_chars` characters a language: a documented bound
-that holds at any corpus size.
+The models are fitted on whole texts of each language in the order of a hash, until they have `sample_chars` characters and
+LEAST_TEXTS texts: a documented bound that holds at any corpus size, and leaves out no language.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ from sluice.llm import tokens
 
 ORDER = 5
 SAMPLE_CHARS = 300_000
+LEAST_TEXTS = 3
 UNKNOWN = "und"
 BLANK = 0x20
+#: Places of texts in the order in which they are sampled.
+PLACES = 1 << 62
 #: Standard deviations, and nats, beyond which a cross-entropy is rejected.
 REJECT_SIGMAS, REJECT_NATS = 8.0, 1.0
 
@@ -239,20 +242,35 @@ def _calibrate(model: Model, texts: dict[str, list[str]]) -> None:
 def fit(docs: DataFrame, training: str = "pmod(crc, 4) != 2", sample_chars: int = SAMPLE_CHARS, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Models of the languages of the training rows: those with `training` true (crc: crc32 of the id), lang and a text.
 
-    The sample is by hash of id and text, at a rate that gives each language about `sample_chars` characters of whole texts.
+    The sample of each language is its whole texts in the order of a hash of id and text, until they have `sample_chars`
+    characters and LEAST_TEXTS texts.
     """
     rows = docs.select(common.crc_of_id(doc_id).alias("crc"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
     rows = rows.where(F.expr(training) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()  # a row for each language
-    if not sizes:
+    place = F.pmod("h", F.lit(PLACES))
+    # By eighths of a power of two, so that a bucket adds a tenth to those before it, or so, however large the corpus.
+    rows = rows.withColumn("bucket", F.floor(8 * F.log2(place + 1)))
+    held = rows.groupBy("lang", "bucket").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).collect()  # 500 a language at most
+    if not held:
         return train({}, order)
-    rate = F.lit(0)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], int(min(1.0, sample_chars / max(r.n, 1)) * 1_000_000)).otherwise(rate)
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < F.greatest(rate, F.lit(1))).select("lang", "text", "h").collect()  # sample_chars a language
+    last: dict[str, int] = {}
+    chars, n = Counter(), Counter()
+    for r in sorted(held, key=lambda r: (r["lang"], r.bucket)):
+        if chars[r["lang"]] < sample_chars or n[r["lang"]] < LEAST_TEXTS:
+            last[r["lang"]] = r.bucket
+        chars[r["lang"]] += r.chars
+        n[r["lang"]] += r.n
+    cut = F.lit(-1)
+    for language, bucket in last.items():
+        cut = F.when(F.col("lang") == language, bucket).otherwise(cut)
+    sample = rows.where(F.col("bucket") <= cut).select("lang", "text", place.alias("place")).collect()  # sample_chars a language
     texts: dict[str, list[str]] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r.h, r.text)):
-        texts.setdefault(r["lang"], []).append(r.text)
+    chars.clear()
+    for r in sorted(sample, key=lambda r: (r["lang"], r.place, r.text)):
+        own = texts.setdefault(r["lang"], [])
+        if chars[r["lang"]] < sample_chars or len(own) < LEAST_TEXTS:
+            own.append(r.text)
+            chars[r["lang"]] += len(r.text)
     return train(texts, order)
 
 

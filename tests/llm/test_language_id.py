@@ -108,3 +108,16 @@ def test_nothing_to_learn(spark):
     assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
     empty = docs.where(F.lit(False))
     assert L.predict(empty, L.fit(empty)).count() == 0
+
+
+def test_languages_of_few_long_texts_are_learned(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, speech(rng, "aa", 8), "aa") for i in range(400)] + [(1000 + i, speech(rng, "bb", 2_000), "bb") for i in range(3)]
+    rows += [(2000 + i, speech(rng, "cc", 8), "cc") for i in range(400)] + [(3000, speech(rng, "cc", 20_000), "cc")]
+    seen = {}
+    train = L.train
+    monkeypatch.setattr(L, "train", lambda texts, order: seen.update(texts) or train(texts, order))
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), training="true", sample_chars=2_000)
+    assert model.languages == sorted(SYLLABLES)
+    assert len(seen["bb"]) == L.LEAST_TEXTS
+    assert all(sum(map(len, own[:-1])) < 2_000 <= sum(map(len, own)) for own in (seen["aa"], seen["cc"]))
