@@ -1,7 +1,7 @@
 """Secrets: credential expressions, and corpus-wide ownership frequency. DataFrame functions only.
 
 Every candidate value's hash is aggregated over the corpus by distinct repositories and owners. A value that several owners
-hold is a widely copied example; one of few owners looks live. Besides the base spans, other strings that look random are
+hold, or very many repositories of one, is a widely copied example; one of few owners and repositories looks live. Besides the base spans, other strings that look random are
 candidates, and those that look live are added, as kind `key`.
 """
 
@@ -14,7 +14,7 @@ from sluice.llm import common, spans
 
 KINDS = ["assign", "access", "hex"]
 ADDED = "key"
-MOST_OWNERS = 2
+MOST_OWNERS, MOST_REPOSITORIES = 2, 100
 
 # The base expressions. Runs that are too short to pass are not matched at all, which leaves the same spans.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
@@ -48,17 +48,18 @@ def base(docs: DataFrame, doc_id: str, text: str, owner: str) -> DataFrame:
     return df.select("doc_id", "h", "owner", *KINDS, "candidate")
 
 
-def ownership(rows: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
+def ownership(rows: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """value_hash, owners, repositories, live. rows: value_hash, owner, repository.
 
     Distinct pairs are made before counting, so that a value of any frequency is summed up in parts.
     """
     owners = rows.select("value_hash", "owner").distinct().groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"))
     repositories = rows.select("value_hash", "repository").distinct().groupBy("value_hash").agg(F.count(F.lit(1)).alias("repositories"))
-    return owners.join(repositories, "value_hash").withColumn("live", F.col("owners") <= most_owners)
+    few = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    return owners.join(repositories, "value_hash").withColumn("live", few)
 
 
-def find(docs: DataFrame, most_owners: int = MOST_OWNERS, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None) -> DataFrame:
+def find(docs: DataFrame, most_owners: int = MOST_OWNERS, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """doc_id, h, assign, access, hex, key, n_live, n_example: spans of each row's whole text, one row for each row.
 
     n_live and n_example count the row's candidates by ownership. A document is its own repository unless a column is named;
@@ -74,7 +75,7 @@ def find(docs: DataFrame, most_owners: int = MOST_OWNERS, doc_id: str = "doc_id"
     held = held.select("doc_id", "h", F.coalesce("owner", F.lit("")).alias("owner"), F.explode(every).alias("s"))
     held = held.select("doc_id", "h", "owner", "s.start", "s.end", "s.value", "s.more", F.xxhash64("s.value").alias("value_hash"))
     held = common.written(held, "secrets-held")
-    stats = common.written(ownership(held.withColumn("repository", F.xxhash64("doc_id", "h")), most_owners), "secrets-owners")
+    stats = common.written(ownership(held.withColumn("repository", F.xxhash64("doc_id", "h")), most_owners, most_repositories), "secrets-owners")
     # Both sides are written tables, so that a frequent value's rows can be split.
     judged = held.join(stats, "value_hash").dropDuplicates(["doc_id", "h", "start", "end", "more"])
     one = F.when(F.col("more") & F.col("live"), F.struct("start", "end", "value"))

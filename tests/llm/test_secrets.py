@@ -45,3 +45,10 @@ def test_ownership_parts_examples_from_live_keys(spark):
 
 def test_empty(spark):
     assert secrets.find(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_a_string_of_very_many_documents_of_one_owner_is_an_example(spark):
+    rows = [(i, f"copy {COPIED} it", "a") for i in range(secrets.MOST_REPOSITORIES + 1)] + [(1000 + i, f"see {LIVE} there", "a") for i in range(secrets.MOST_REPOSITORIES)]
+    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].key == [] and (got[0].n_live, got[0].n_example) == (0, 1)
+    assert [s.value for s in got[1000].key] == [LIVE] and (got[1000].n_live, got[1000].n_example) == (1, 0)
