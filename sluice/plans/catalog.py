@@ -295,6 +295,12 @@ def union_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("l_orderkey", F.round(scalars.union_probability(chances), 9).alias("p"))
 
 
+def whole_union_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every line of all orders."""
+    chances = F.array(F.col("l_discount"), F.col("l_tax"), F.lit(0.5))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(scalars.union_probability(chances), 9).alias("p"))
+
+
 def uuid_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 8), F.lit("-0000-4000-8000-000000000000"))
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.uuid_range_shard(made, 10).alias("shard"))
@@ -332,7 +338,7 @@ _PLAIN = [
     customer_summary, right_only_records, flat_join, flat_records, filter_map, flat_map, parse_csv, validated_order, observed_count, reduce_by, fold, distinct, count,
     event_counts, reduce_runs, collect_runs, group_contiguous, percentile_nearest, percentile_by, quantile_sketch, sort, top_k, head, skip, sample_share, sample_exact,
     sample_consistent, sorted_distinct_lines, set_union, set_intersect, set_subtract, set_by_membership, merge, concat, union_all, hash_shards, item_shards, shuffle,
-    union_probability, uuid_shards, path_parts, sliding_average, sliding_rate, sliding_quantiles, last_values, generated,
+    union_probability, whole_union_probability, uuid_shards, path_parts, sliding_average, sliding_rate, sliding_quantiles, last_values, generated,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN}
 for _mode in JoinMode:
@@ -418,6 +424,7 @@ ORACLES = {
     "item_shards": 'SELECT o_orderpriority AS shard, count(*) AS "rows" FROM orders GROUP BY 1',
     "shuffle": "SELECT o_custkey, count(*) AS n, CAST(1 AS BIGINT) AS partitions FROM orders GROUP BY 1",
     "union_probability": "SELECT l_orderkey, round(1 - (1 - l_discount) * (1 - l_tax) * 0.5::DOUBLE, 9) AS p FROM lineitem WHERE l_linenumber = 1",
+    "whole_union_probability": "SELECT l_orderkey, l_linenumber, round(1 - (1 - l_discount) * (1 - l_tax) * 0.5::DOUBLE, 9) AS p FROM lineitem",
     "uuid_shards": "SELECT o_orderkey, CAST(floor(CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) * 10 / 4294967296) AS INTEGER) AS shard FROM orders",
     "path_parts": "SELECT n_nationkey, 'gs://bucket/a/' || n_name AS path, 'a/' || n_name AS key FROM nation",
     "sliding_average": f"""

@@ -35,3 +35,11 @@ def test_all_error_events_are_joined(spark):
 
 def test_modes_differ_on_whole_tables(spark):
     assert len({catalog.QUERIES[f"whole_record_join_{m.value}"](spark, DATA).count() for m in catalog.JoinMode}) == len(catalog.JoinMode)
+
+
+def test_all_lines_have_a_union_probability(spark):
+    got = catalog.QUERIES["whole_union_probability"](spark, DATA).collect()
+    want = sql("SELECT l_orderkey, l_linenumber, 1 - (1 - l_discount) * (1 - l_tax) / 2 FROM lineitem").fetchall()
+    assert len(got) == len(want)
+    got, want = sorted((r.l_orderkey, r.l_linenumber, r.p) for r in got), sorted((k, n, float(p)) for k, n, p in want)
+    assert all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-8 for g, w in zip(got, want))
