@@ -32,18 +32,19 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def luhn(digits: Column) -> Column:
-    """Whether a string of at most 19 digits passes."""
+def luhn(value: Column) -> Column:
+    """Whether the digits of a string pass."""
 
-    def step(total: Column, i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int") * (1 + i % 2)
-        return total + d - F.when(d > 9, 9).otherwise(0)
+    def weighted(digit: Column, i: Column) -> Column:
+        d = digit.cast("int") * (1 + i % 2)
+        return d - F.when(d > 9, 9).otherwise(0)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), step) % 10 == 0
+    digits = F.split(F.reverse(_digits(value)), "")
+    return F.aggregate(F.transform(digits, weighted), F.lit(0), lambda total, d: total + d) % 10 == 0
 
 
 def _passes_card(value: Column) -> Column:
-    return F.when(F.length(_digits(value)).between(14, 19), luhn(_digits(value))).otherwise(False)
+    return F.when(F.length(_digits(value)).between(14, 19), luhn(value)).otherwise(False)
 
 
 def patterns(text: Column) -> dict:
@@ -64,32 +65,41 @@ def base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text:
     return df.select("doc_id", "h", *(["text"] if keep_text else []), *carried, *KINDS)
 
 
-def _contexts(text: Column, span: Column) -> Column:
-    """The lexical patterns around a span."""
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))
-    after = F.lower(F.substring(text, span["end"] + 1, F.lit(CONTEXT)))
-    two = F.regexp_extract(before, r"(\S+\s+\S+)\s+$", 1)
-    one = F.regexp_extract(before, r"(\S+)\s+$", 1)
-    right = F.regexp_extract(after, r"^\S{0,2}\s+(\S+)", 1)
-    label = F.regexp_extract(before, r"([\p{L}]{2,}\s?[:=#])\s*$", 1)
-    made = F.array(
-        F.when(two != "", F.concat(F.lit("two "), F.regexp_replace(two, r"\s+", " "))),
-        F.when((one != "") & (right != ""), F.concat(F.lit("around "), one, F.lit(" _ "), right)),
-        F.when(label != "", F.concat(F.lit("label "), F.regexp_replace(label, r"\s+", ""))),
-    )
-    return F.filter(made, lambda p: p.isNotNull())
-
-
-def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h, start, end, value, seed, patterns: seeds and candidates of all texts with their contexts."""
-    df = base(docs, doc_id, text, keep_text=True)
+def _contexts(parts: Column, start: Column, end: Column) -> Column:
+    """The lexical patterns around a span. parts: the text's pieces."""
+
+    def made(around: Column) -> Column:
+        before, after = around["before"], around["after"]
+        two = F.regexp_extract(before, r"(\S+\s+\S+)\s+$", 1)
+        one = F.regexp_extract(before, r"(\S+)\s+$", 1)
+        right = F.regexp_extract(after, r"^\S{0,2}\s+(\S+)", 1)
+        label = F.regexp_extract(before, r"([\p{L}]{2,}\s?[:=#])\s*$", 1)
+        return F.array(
+            F.when(two != "", F.concat(F.lit("two "), F.regexp_replace(two, r"\s+", " "))),
+            F.when((one != "") & (right != ""), F.concat(F.lit("around "), one, F.lit(" _ "), right)),
+            F.when(label != "", F.concat(F.lit("label "), F.regexp_replace(label, r"\s+", ""))),
+        )
+
+    around = F.struct(F.lower(spans.before(parts, start, CONTEXT)).alias("before"), F.lower(spans.after(parts, end, CONTEXT)).alias("after"))
+    return F.filter(spans.let(around, made), lambda p: p.isNotNull())
+
+
+def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """base() with `near`: start, end, value, seed, patterns of every seed and candidate of the text, in their contexts."""
+    df = base(docs, doc_id, text, keep_text=True, carried=carried)
     df = spans.matches(df, F.col("text"), {"candidate": (F.col("text").rlike("[0-9]"), CANDIDATE, lambda v: F.lit(True))})
-    seeds = F.concat(*(F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(True).alias("seed"))) for k in KINDS))
-    others = F.filter(F.col("candidate"), lambda s: ~spans.overlaps(s, KINDS))
-    others = F.transform(others, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("seed")))
-    # explode_outer: from explode() the planner infers a filter that would evaluate all spans again below.
-    df = df.select("doc_id", "h", "text", F.explode_outer(F.concat(seeds, others)).alias("s")).where(F.col("s").isNotNull())
-    return df.select("doc_id", "h", "s.*", _contexts(F.col("text"), F.col("s")).alias("patterns"))
+    df = df.withColumn("candidate", spans.apart("candidate", KINDS))
+
+    def marked(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind in KINDS).alias("seed")))
+
+    def placed(parts: Column) -> Column:
+        every = F.concat(*(marked(k) for k in [*KINDS, "candidate"]))
+        return F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["seed"].alias("seed"), _contexts(parts, s["start"], s["end"]).alias("patterns")))
+
+    some = sum((F.size(k) for k in [*KINDS, "candidate"]), F.lit(0)) > 0
+    near = spans.let(F.when(some, spans.pieces(F.col("text"))).otherwise(F.array().cast("array<string>")), placed)
+    return df.select("doc_id", "h", *(["text"] if keep_text else []), *carried, *KINDS, near.alias("near"))
 
 
 def _scored_patterns(edges: DataFrame, rounds: int, least_seeds: int, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -107,28 +117,28 @@ def _scored_patterns(edges: DataFrame, rounds: int, least_seeds: int, least_scor
     return table
 
 
-def learned(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h, found: spans that the bootstrapped patterns add, of the documents that have any."""
-    rows = common.written(occurrences(docs, doc_id, text), "pii-occurrences")
-    exploded = rows.withColumn("pattern", F.explode("patterns"))
+def learned(rows: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
+    """doc_id, h, found: spans that the bootstrapped patterns add, of the documents that have any. rows: a table of scanned()."""
+    near = rows.select("doc_id", "h", F.explode("near").alias("s")).select("doc_id", "h", "s.*")
+    exploded = near.withColumn("pattern", F.explode("patterns"))
     edges = common.written(exploded.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
     good = _scored_patterns(edges, rounds, least_seeds, least_score).where((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds))
     good = common.written(good.select("pattern"), "pii-good")
     hits = exploded.where(~F.col("seed")).join(good, "pattern")
     one = F.struct("start", "end", "value")
-    return hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(one)).cast(spans.SPAN).alias(FOUND))
+    return hits.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(one)).cast(spans.SPAN).alias(FOUND))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, carried: tuple[str, ...] = (), **options) -> DataFrame:
     """doc_id, h, (text, the columns `carried`,) email, ip, card, phone, found: spans (start, end, value) of each row's whole text.
 
     One row for each row. A null text is an empty one, without spans. Repeated rows each have their spans, and count once
-    in the graph. Tables without seeds, or empty ones, add nothing. Only the named columns are read.
+    in the graph. Tables without seeds, or empty ones, add nothing. Only the named columns are read, and the texts once.
     """
-    more = learned(docs, doc_id=doc_id, text=text, **options).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    rows = base(docs, doc_id, text, keep_text, carried)
+    rows = common.written(scanned(docs, doc_id, text, keep_text, carried), "pii-rows")
+    more = learned(rows, **options).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
     on = rows["doc_id"].eqNullSafe(more["_id"]) & (rows["h"] == more["_h"])
-    out = rows.join(more, on, "left").drop("_id", "_h")
+    out = rows.drop("near").join(more, on, "left").drop("_id", "_h")
     return out.withColumn(FOUND, F.coalesce(F.col(FOUND), F.array().cast(spans.SPAN)))
 
 

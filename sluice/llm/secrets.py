@@ -1,8 +1,8 @@
 """Secrets: credential expressions, and corpus-wide ownership frequency. DataFrame functions only.
 
 Every candidate value's hash is aggregated over the corpus by distinct repositories and owners. A value that several owners
-hold, or very many repositories of one, is a widely copied example; one of few owners and repositories looks live. Besides the base spans, other strings that look random are
-candidates, and those that look live are added, as kind `key`.
+hold, or very many repositories of one, is a widely copied example; one of few owners and repositories looks live. Besides
+the base spans, other strings that look random are candidates, and those that look live are added, as kind `key`.
 """
 
 from __future__ import annotations
@@ -38,14 +38,17 @@ def _looks_random(value: Column) -> Column:
     return kinds & (changes * 4 >= F.length(value))
 
 
-def base(docs: DataFrame, doc_id: str, text: str, owner: str) -> DataFrame:
-    """doc_id, h, owner, a column of spans for each base kind, and one of further candidates."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(owner).cast("string").alias("owner"))
+def base(docs: DataFrame, doc_id: str, text: str, owner: str, repository: str | None = None) -> DataFrame:
+    """doc_id, h, owner, repository (a hash), a column of spans for each base kind, and one of further candidates."""
+    held = F.xxhash64(doc_id, F.coalesce(F.col(text), F.lit(""))) if repository is None else F.xxhash64(F.col(repository))
+    df = docs.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(owner).cast("string").alias("owner"), held.alias("repository")
+    )
     body = F.col("text")
     kinds = patterns(body) | {"candidate": (body.rlike("[A-Za-z0-9+/_=-]{20}"), RANDOM, _looks_random)}
     df = spans.matches(df.withColumn("h", F.xxhash64("text")), body, kinds)
-    df = df.withColumn("candidate", F.filter("candidate", lambda s: ~spans.overlaps(s, KINDS)))
-    return df.select("doc_id", "h", "owner", *KINDS, "candidate")
+    df = df.withColumn("candidate", spans.apart("candidate", KINDS))
+    return df.select("doc_id", "h", "owner", "repository", *KINDS, "candidate")
 
 
 def ownership(rows: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
@@ -63,19 +66,16 @@ def find(docs: DataFrame, most_owners: int = MOST_OWNERS, doc_id: str = "doc_id"
     """doc_id, h, assign, access, hex, key, n_live, n_example: spans of each row's whole text, one row for each row.
 
     n_live and n_example count the row's candidates by ownership. A document is its own repository unless a column is named;
-    null owners are one owner. A null text is an empty one, without spans. Repeated rows each have their spans and are one
+    null owners are one owner, and null repositories one repository. A null text is an empty one, without spans. Repeated rows each have their spans and are one
     repository. Only the named columns are read.
     """
-    rows = base(docs, doc_id, text, owner)
-    if repository is not None:
-        raise ValueError("a repository column isn't carried; documents are repositories")
-    rows = common.written(rows, "secrets-base")
+    rows = common.written(base(docs, doc_id, text, owner, repository), "secrets-base")
     every = F.concat(*(_held(k) for k in [*KINDS, "candidate"]))
     held = rows.where(sum((F.size(k) for k in [*KINDS, "candidate"]), F.lit(0)) > 0)
-    held = held.select("doc_id", "h", F.coalesce("owner", F.lit("")).alias("owner"), F.explode(every).alias("s"))
-    held = held.select("doc_id", "h", "owner", "s.start", "s.end", "s.value", "s.more", F.xxhash64("s.value").alias("value_hash"))
+    held = held.select("doc_id", "h", F.coalesce("owner", F.lit("")).alias("owner"), "repository", F.explode(every).alias("s"))
+    held = held.select("doc_id", "h", "owner", "repository", "s.start", "s.end", "s.value", "s.more", F.xxhash64("s.value").alias("value_hash"))
     held = common.written(held, "secrets-held")
-    stats = common.written(ownership(held.withColumn("repository", F.xxhash64("doc_id", "h")), most_owners, most_repositories), "secrets-owners")
+    stats = common.written(ownership(held, most_owners, most_repositories), "secrets-owners")
     # Both sides are written tables, so that a frequent value's rows can be split.
     judged = held.join(stats, "value_hash").dropDuplicates(["doc_id", "h", "start", "end", "more"])
     one = F.when(F.col("more") & F.col("live"), F.struct("start", "end", "value"))

@@ -112,3 +112,78 @@ def test_found_strings_support_patterns_of_a_second_generation(spark):
     assert all(got[i] == [f"AB-{10000 + i % 100}"] for i in (100, 101, 102, 300, 301, 302))
     assert got[310] == ["QX-77123"]
     assert not any(got[320 + i] for i in range(4))
+
+
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_#/-])[A-Za-z0-9_#/-]{6,40}(?![A-Za-z0-9_#/-])")
+
+
+def brute_contexts(text, start, end):
+    before, after = text[max(0, start - pii.CONTEXT) : start].lower(), text[end : end + pii.CONTEXT].lower()
+    out = []
+    two, one, right = re.search(r"(\S+\s+\S+)\s+$", before), re.search(r"(\S+)\s+$", before), re.search(r"^\S{0,2}\s+(\S+)", after)
+    label = re.search(r"([^\W\d_]{2,}\s?[:=#])\s*$", before)
+    if two:
+        out.append("two " + re.sub(r"\s+", " ", two[1]))
+    if one and right:
+        out.append(f"around {one[1]} _ {right[1]}")
+    if label:
+        out.append("label " + re.sub(r"\s+", "", label[1]))
+    return out
+
+
+def brute_found(rows):
+    """doc_id -> found spans, by the definition: contexts, graph, rounds, good patterns."""
+    near = []
+    for i, t in rows:
+        base = [(int(a), int(b)) for _, a, b in (s.split(":") for s in brute(t) if s)]
+        near += [(i, a, b, t[a:b], True, brute_contexts(t, a, b)) for a, b in base]
+        for m in CANDIDATE.finditer(t or ""):
+            if sum(c.isdigit() for c in m[0]) >= 3 and not any(m.start() < b and a < m.end() for a, b in base):
+                near.append((i, m.start(), m.end(), m[0], False, brute_contexts(t, m.start(), m.end())))
+    edges = {}
+    for *_, v, seed, patterns in near:
+        for p in patterns:
+            edges[p, v] = edges.get((p, v), False) or seed
+    seeds = {v for (_, v), s in edges.items() if s}
+    strings = {v: float(v in seeds) for _, v in edges}
+    for _ in range(pii.ROUNDS):
+        by = {}
+        for (p, v), s in edges.items():
+            by.setdefault(p, []).append((strings[v], s or strings[v] >= pii.LEAST_SCORE))
+        score = {p: (sum(x for x, _ in own) / (len(own) + pii.DAMPING) if sum(s for _, s in own) >= pii.LEAST_SEEDS else 0.0, sum(s for _, s in own)) for p, own in by.items()}
+        for v in strings:
+            miss = 1.0
+            for p in [p for p, w in edges if w == v]:
+                miss *= 1 - score[p][0]
+            strings[v] = 1.0 if v in seeds else 1 - miss
+    good = {p for p, (s, n) in score.items() if s >= pii.LEAST_SCORE and n >= pii.LEAST_SEEDS}
+    out = {i: set() for i, _ in rows}
+    for i, a, b, _, seed, patterns in near:
+        if not seed and good & set(patterns):
+            out[i].add((a, b))
+    return out
+
+
+def test_all_spans_like_brute_force(spark):
+    rng = random.Random(21)
+    ids = [f"user{i}@m.org" for i in range(6)] + [f"10.0.0.{i}" for i in range(4)] + [f"AB-{1000 + i}" for i in range(8)] + ["12.345", "short1", "+1 (988) 555-2485", "é777#", "x" * 45 + "123"]
+    leads = ["contact: ", "mail of user ", "badge# ", "\n", "the é ", "see😀 ", "id=", "", " " * 300, "word " * 60]
+    rows = [(i, "".join(rng.choice(leads) + rng.choice(ids) + rng.choice([" ", ", ", " end ", "\n", ""]) for _ in range(rng.randint(0, 7)))) for i in range(150)]
+    rows += [(200 + i, t) for i, t in labelled()]
+    got = {r.doc_id: {(s.start, s.end) for s in r.found} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_found(rows)
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_a_text_of_a_hundred_thousand_identifiers(spark):
+    text = "é ".join(f"10.{i // 250 % 250}.{i % 250}.7 id: AB-{i:06d}" if i % 2 else f"u{i}@ex.org +1 (555) 123-{i:06d}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.digest(pii.find(docs)).first()
+    assert got.base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    spans_ = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in brute(text)))
+    want, at = [], 0
+    for a, b, k in spans_:
+        if a >= at:
+            want.append(text[at:a] + f"[{k}]")
+        at = max(at, b)
+    assert pii.redact(docs).first().text == "".join(want) + text[at:]
