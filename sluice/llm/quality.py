@@ -3,8 +3,9 @@ linear scorer trained on the posterior labels.
 
 Each labeller votes good (1), bad (0) or abstains (-1) on a whole text, from counts that DataFrame functions make. Votes of
 all documents are counted by pattern: there are at most 3 ** labellers patterns at any number of documents, and expectation-
-maximisation runs on those counts alone. A bounded sample of documents (by hash, SAMPLE_ROWS or so), with their posteriors as
-soft labels, trains a logistic scorer on hashed words and word pairs, which scores every document's whole text.
+maximisation runs on those counts alone. A bounded sample of documents (the first by hash, SAMPLE_ROWS rows and SAMPLE_BYTES
+bytes at most, half of either for each kind of posterior), with their posteriors as soft labels, trains a logistic scorer on
+hashed words and word pairs, which scores every document's whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 from sluice.llm import common
 from sluice.llm import kernels as K
 
-SAMPLE_ROWS, BITS, EPOCHS, RATE, PENALTY = 6_000, 18, 12, 0.5, 1e-5
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 32 << 20
+BITS, EPOCHS, RATE, PENALTY = 18, 12, 0.5, 1e-5
+#: Places of rows in the order in which they are sampled.
+PLACES = 1 << 62
 ABSTAIN, BAD, GOOD = -1, 0, 1
 DOUBLED = np.uint64(0x27D4EB2F165667C5)
 #: Values of bytes by their class.
@@ -157,29 +161,49 @@ def voted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text
     return df.select("doc_id", votes, *(["text"] if keep_text else []))
 
 
-def classify(docs: DataFrame, least_score: float = 0.5, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sampled(rows: DataFrame, most_rows: int, most_bytes: int) -> list:
+    """text, weak_label of the first rows by hash, for each kind of posterior until half of either bound is reached.
+
+    rows: doc_id, text, weak_label. Counts by eighths of a power of two of the place tell how far to read, so that no more
+    than a tenth or so beyond the bounds reaches the driver, at any number of rows.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES))
+    rows = rows.select("text", "weak_label", place.alias("place"), F.floor(8 * F.log2(place + 1)).alias("bucket"), (F.col("weak_label") >= 0.5).alias("kind"))
+    held = rows.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # 1,000 at most
+    cuts = {True: -1, False: -1}
+    n, size = {True: 0, False: 0}, {True: 0, False: 0}
+    for r in sorted(held, key=lambda r: (r.kind, r.bucket)):
+        if 2 * n[r.kind] < most_rows and 2 * size[r.kind] < most_bytes:
+            cuts[r.kind] = r.bucket
+        n[r.kind] += r.n
+        size[r.kind] += r.bytes
+    read = rows.where(F.col("bucket") <= F.when(F.col("kind"), cuts[True]).otherwise(cuts[False])).select("text", "weak_label", "place", "kind").collect()
+    out, n, size = [], {True: 0, False: 0}, {True: 0, False: 0}
+    for r in sorted(read, key=lambda r: (r.place, r.text)):
+        if 2 * n[r.kind] < most_rows and 2 * size[r.kind] < most_bytes:
+            out.append(r)
+            n[r.kind] += 1
+            size[r.kind] += len(r.text.encode())
+    return out
+
+
+def classify(docs: DataFrame, least_score: float = 0.5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, votes, weak_label, score, good: one row for each row.
 
     weak_label is the posterior of good from the votes, score the linear scorer's probability, and good whether it reaches
     `least_score`. A null text is an empty one. Repeated rows count as often as they stand there. Without any rows nothing
-    is learned, and nothing returned. Only the named columns are read.
+    is learned, and nothing returned. Only the named columns are read, and the votes are made once.
     """
     spark = docs.sparkSession
-    rows = voted(docs, doc_id, text, keep_text=True)
+    rows = common.written(voted(docs, doc_id, text, keep_text=True), "quality-votes")
     counted = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** 6 patterns at most
     width = len(labellers(F.lit("")))
     votes = np.array([r.votes for r in counted], np.int64).reshape(-1, width)
-    counts = np.array([r.n for r in counted], float)
-    model = expectation_maximisation(votes, counts)
-    total = int(counts.sum())
-    # The sample holds as much of the less frequent kind of posterior as of the other, at known rates.
-    bad = float(counts[model.posterior(votes) < 0.5].sum()) if total else 0.0
-    rates = [min(1.0, sample_rows / 2 / max(n, 1.0)) for n in (bad, total - bad)]
-    table = [(list(map(int, v)), float(p), int(rates[int(p >= 0.5)] * 1_000_000)) for v, p in zip(votes, model.posterior(votes))] if total else []
-    known = spark.createDataFrame(table, "votes array<int>, weak_label double, rate int")
-    held = rows.select("doc_id", "text", "votes").join(F.broadcast(known), "votes")
-    sample = held.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("rate")).select("text", "weak_label", F.xxhash64("doc_id", "text").alias("h")).collect()
-    sample.sort(key=lambda r: (r.h, r.text))
+    model = expectation_maximisation(votes, np.array([r.n for r in counted], float))
+    table = [(list(map(int, v)), float(p)) for v, p in zip(votes, model.posterior(votes))] if len(votes) else []
+    known = spark.createDataFrame(table, "votes array<int>, weak_label double")
+    held = rows.join(F.broadcast(known), "votes")
+    sample = sampled(held, sample_rows, sample_bytes)
     scorer = train_scorer([r.text for r in sample], np.array([r.weak_label for r in sample]))
     sent = spark.sparkContext.broadcast(scorer)
 

@@ -1,10 +1,13 @@
 import itertools
 import random
+import re
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from sluice.llm import kernels as K
 from sluice.llm import quality as Q
 import pyarrow as pa
@@ -78,11 +81,46 @@ def test_empty(spark):
     assert Q.classify(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_the_sample_has_six_thousand_rows_of_both_kinds(spark, monkeypatch):
+def test_the_sample_is_the_first_rows_of_each_kind(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(i, text(rng, i % 2 == 0)) for i in range(9_000)]
     seen = []
-    monkeypatch.setattr(Q, "train_scorer", lambda texts, labels: seen.append(labels) or Q.Scorer(np.zeros(1 << Q.BITS), 0.0))
-    Q.classify(spark.createDataFrame(rows, "doc_id long, text string"))
-    for kind in (seen[0] >= 0.5, seen[0] < 0.5):
-        assert abs(kind.sum() - 3_000) < 200
+    monkeypatch.setattr(Q, "train_scorer", lambda texts, labels: seen.append((texts, labels)) or Q.Scorer(np.zeros(1 << Q.BITS), 0.0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    Q.classify(docs)
+    Q.classify(docs, sample_bytes=100_000)
+    for kind in (seen[0][1] >= 0.5, seen[0][1] < 0.5):
+        assert kind.sum() == 3_000
+    for kind in (True, False):
+        sizes = [len(t.encode()) for t, p in zip(*seen[1]) if (p >= 0.5) == kind]
+        assert sum(sizes) - sizes[-1] < 50_000 <= sum(sizes)
+    places = {r.text: r.p for r in docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(Q.PLACES)).alias("p")).collect()}
+    order = [places[t] for t in seen[1][0]]
+    assert order == sorted(order)
+
+
+def test_weak_labels_like_votes_counted_by_hand(spark):
+    texts = ["", "One two.", "HELLO THERE!! " * 20, "word " * 60, "a %%% b $$$ " * 9, "It is a plain text. It has an end. " * 6, "12345 67890 " * 30, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def votes(t):
+        t = t or ""
+        share = lambda a, b: a / max(b, 1)
+        vote = lambda bad, good: 0 if bad else 1 if good else -1
+        words, letters = len(re.split(r"\s+", t.strip())), sum(c.isalpha() for c in t)
+        capitals, ends = sum(c.isupper() for c in t), t.count(".")
+        symbols = len(re.sub(r"[^\W_]|[\s.,;:'’()\"-]", "", t))
+        own = re.split(r"\s", t)
+        doubled = share(sum(len(a) for a, b in zip(own, own[1:]) if a == b and a.isalpha()), letters)
+        return [
+            vote(len(t) < 20, 40 <= words <= 20_000), vote(share(symbols, len(t)) > 0.05, share(symbols, len(t)) < 0.01 and letters > 0),
+            vote(share(capitals, letters) > 0.4, 0.001 <= share(capitals, letters) <= 0.1), vote(doubled > 0.2, doubled < 0.02 and words > 20),
+            vote(share(letters, len(t)) < 0.5, share(letters, len(t)) > 0.7), vote(ends == 0 and words > 30, 0.02 <= share(ends, words) <= 0.25),
+        ]
+
+    got = {r.doc_id: r for r in Q.classify(docs).collect()}
+    want = [votes(t) for t in texts]
+    assert [got[i].votes for i in range(len(texts))] == want
+    patterns, counts = np.unique(np.array(want), axis=0, return_counts=True)
+    model = Q.expectation_maximisation(patterns, counts.astype(float))
+    assert np.allclose([got[i].weak_label for i in range(len(texts))], model.posterior(np.array(want)), atol=1e-6)
