@@ -22,7 +22,7 @@ from sluice.llm import common
 from sluice.llm import kernels as K
 
 SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 32 << 20
-BITS, EPOCHS, RATE, PENALTY = 18, 12, 0.5, 1e-5
+BITS, EPOCHS, RATE, PENALTY = 18, 12, 0.5, 1e-2
 #: Places of rows in the order in which they are sampled.
 PLACES = 1 << 62
 ABSTAIN, BAD, GOOD = -1, 0, 1
