@@ -18,7 +18,7 @@ def shard_of(key: str | Column, shards: int) -> Column:
 
 def consistent_boolean(key: str | Column, probability: float) -> Column:
     """The same answer for a key each time; true for about this share of keys."""
-    return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(probability * 1_000_000)
+    return fast_random(key) < probability
 
 
 def uuid_range_shard(uuid: str | Column, shards: int) -> Column:
@@ -43,3 +43,8 @@ def path_parts(path: str | Column) -> Column:
     """struct(scheme, bucket, key) of a path."""
     part = lambda i: F.regexp_extract(path, r"^([^:/]+)://([^/]+)/?(.*)$", i)
     return F.struct(part(1).alias("scheme"), part(2).alias("bucket"), part(3).alias("key"))
+
+
+def fast_random(key: str | Column, seed: int = 0) -> Column:
+    """A number from 0 to below 1 for each key, the same each time for a seed, without any state."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))

@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import Window, WindowSpec
+
+from sluice.operators import order
 
 
 def reduce_by(df: DataFrame, family: Sequence[str | Column], **aggregates: Column) -> DataFrame:
@@ -30,13 +32,27 @@ def fold(df: DataFrame, family: Sequence[str], value: str, order_by: Sequence[st
 def run_ids(df: DataFrame, family: str | Column, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "run") -> DataFrame:
     """df with the number of the run of equal families that each row is in.
 
-    Runs need a total order: without `partition_by`, all rows meet in one task.
+    Without `partition_by` the rows are sorted by ranges. Each range counts its own runs, and takes over from the range
+    before how many runs there were, and its last family: one row a range.
     """
     family = F.col(family) if isinstance(family, str) else family
-    order = Window.partitionBy(*partition_by).orderBy(*order_by)
-    last = F.lag(F.struct(family.alias("f"))).over(order)
+    if partition_by:
+        return _numbered(df, family, Window.partitionBy(*partition_by).orderBy(*order_by), name)
+    rows = _numbered(order.positioned(df.withColumn("_f", F.struct(family.alias("f"))), *order_by), F.col("_f.f"), Window.partitionBy("_part").orderBy("_id"), "_own")
+    ends = rows.groupBy("_part").agg(F.min_by("_f", "_id").alias("first"), F.max_by("_f", "_id").alias("last"), F.max("_own").alias("n")).collect()
+    before, at, last = [], 0, None
+    for r in sorted(ends, key=lambda r: r["_part"]):
+        at -= last is not None and last == r["first"]  # the run goes on
+        before.append((r["_part"], at))
+        at, last = at + r["n"], r["last"]
+    table = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    return rows.join(F.broadcast(table), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_id", "_part", "_f", "_own", "_before")
+
+
+def _numbered(df: DataFrame, family: Column, order_: WindowSpec, name: str) -> DataFrame:
+    last = F.lag(F.struct(family.alias("f"))).over(order_)
     new = F.when(last.isNull() | ~last["f"].eqNullSafe(family), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(order_.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def reduce_runs(df: DataFrame, family: str, order_by: Sequence[str], partition_by: Sequence[str] = (), **aggregates: Column) -> DataFrame:
@@ -75,6 +91,17 @@ def count(df: DataFrame, name: str = "count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
+def action_stats(df: DataFrame, category: str, start: str, end: str, now: Column) -> DataFrame:
+    """Of each category: actions that run (begun, but not ended by `now`), that are completed, and the total and average
+    seconds of those. start, end: timestamps; a null end hasn't come yet."""
+    done = F.col(end).isNotNull() & (F.col(end) <= now)
+    took = F.when(done, F.unix_micros(end) - F.unix_micros(start))
+    open_ = F.when((F.col(start) <= now) & ~done, 1).otherwise(0)
+    total = F.coalesce(F.sum(took), F.lit(0)) / 1e6
+    completed = F.count(took)
+    return df.groupBy(category).agg(F.sum(open_).alias("running"), completed.alias("completed"), total.alias("total"), F.when(completed > 0, total / completed).alias("average"))
+
+
 def event_counts(df: DataFrame, category: str, value: str | None = None) -> DataFrame:
     """Events of each category, and of a duration the sum and mean."""
     more = [F.sum(value).alias("total"), F.avg(value).alias("mean")] if value else []

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sluice.operators.order import positioned
+from sluice.session import written
+
 
 def map_rows(df: DataFrame, *columns: Column | str) -> DataFrame:
     """One row for each row, by column expressions."""
@@ -62,18 +65,36 @@ def for_each(df: DataFrame, action: Callable, finish: Callable[[], None] | None
 def validate_order(df: DataFrame, order_by: Sequence[str], position: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """df; its use fails if a row's keys are below those of the row before it, by `position`.
 
-    A total order over a whole table meets in one task; name partitions where order only matters inside them.
+    Without `partition_by` the rows are sorted by ranges of `position`. Each range checks itself, and its first row against
+    the last of the range before: one row a range.
     """
-    before = Window.partitionBy(*partition_by).orderBy(position)
     now = F.struct(*order_by)
-    last = F.lag(now).over(before)
-    out = df.withColumn("_order", F.when(last > now, F.raise_error(F.lit("[OUT_OF_ORDER] rows aren't in order"))).otherwise(F.lit(True).cast("boolean")))
+    if partition_by:
+        return _checked(df, F.lag(now).over(Window.partitionBy(*partition_by).orderBy(position)) > now)
+    rows = positioned(df, position)
+    ends = rows.groupBy("_part").agg(F.max_by(now, "_id").alias("last")).orderBy("_part").collect()  # one a task
+    following = [(b["_part"], a["last"]) for a, b in zip(ends, ends[1:])]
+    table = df.sparkSession.createDataFrame(following, df.sparkSession.createDataFrame([], "_part long").join(df.select(now.alias("_last")).limit(0)).schema)
+    last = F.coalesce(F.lag(now).over(Window.partitionBy("_part").orderBy("_id")), F.col("_last"))
+    return _checked(rows.join(F.broadcast(table), "_part", "left"), last > now).drop("_id", "_part", "_last")
+
+
+def _checked(df: DataFrame, wrong: Column) -> DataFrame:
+    out = df.withColumn("_order", F.when(wrong, F.raise_error(F.lit("[OUT_OF_ORDER] rows aren't in order"))).otherwise(F.lit(True).cast("boolean")))
     return out.where(F.coalesce(F.col("_order").cast("boolean"), F.lit(True))).drop("_order")
 
 
-def tee(df: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
-    """Writes df and passes it on; it is computed once."""
-    kept = df.persist()
+def chained(df: DataFrame, *steps: Callable[[DataFrame], object]) -> object:
+    """What the last of the steps makes of what those before made of df: a compound operator, or with a sink at its end a
+    compound sink."""
+    for step in steps:
+        df = step(df)
+    return df
+
+
+def tee(df: DataFrame, write: Callable[[DataFrame], object]) -> DataFrame:
+    """Writes df and passes it on; it is computed once, and kept as a table in the shared folder."""
+    kept = written(df, "tee")
     write(kept)
     return kept
 
@@ -116,3 +137,18 @@ def with_progress(df: DataFrame, action: Callable[[DataFrame], object], report:
         thread.join()
         sc.setLocalProperty("spark.jobGroup.id", None)
         steps(1.0)
+
+
+def least(shares: Sequence[float]) -> float:
+    """The progress of a flow that is done when all its inputs are: 1 without inputs."""
+    return min(shares, default=1.0)
+
+
+def most(shares: Sequence[float]) -> float:
+    """The progress of a flow that is done when any input is."""
+    return max(shares, default=1.0)
+
+
+def average(shares: Sequence[float]) -> float:
+    """The progress of a flow that reads its inputs one after the other."""
+    return sum(shares) / len(shares) if shares else 1.0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,20 +41,18 @@ def _left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), "c_name")
 
 
-def _rights(spark: SparkSession, sf_dir: str, whole: bool = False) -> list[DataFrame]:
-    """whole: events of all users, else of those that the SQL of the first queries names."""
+def _rights(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     orders = table(spark, sf_dir, "orders").where("o_orderpriority like '1%' and o_orderstatus = 'F'")
-    events = table(spark, sf_dir, "events").where("event_type = 'error'" + " and user_id < 100" * (not whole))
+    events = table(spark, sf_dir, "events").where("event_type = 'error'")
     return [orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id")), events.select(F.col("user_id").alias("k"), F.col("event_id").alias("id"))]
 
 
 _INPUTS = """
     l AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'),
     r0 AS (SELECT o_custkey AS k, o_orderkey AS id FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'F'),
-    r1 AS (SELECT user_id AS k, event_id AS id FROM events WHERE event_type = 'error' AND user_id < 100),
+    r1 AS (SELECT user_id AS k, event_id AS id FROM events WHERE event_type = 'error'),
     a AS (SELECT k, count(*) AS n FROM l GROUP BY k), b AS (SELECT k, count(*) AS n, sum(id) AS s FROM r0 GROUP BY k),
     c AS (SELECT k, count(*) AS n, sum(id) AS s FROM r1 GROUP BY k)"""
-_WHOLE_INPUTS = _INPUTS.replace(" AND user_id < 100", "")
 _KEEPS = {
     JoinMode.LEFT: "n_left > 0",
     JoinMode.INNER: "n_left > 0 AND n_right0 + n_right1 > 0",
@@ -73,15 +70,15 @@ def _counted(records: DataFrame) -> DataFrame:
 
 
 def _record_join(mode: JoinMode, ordered: bool) -> Callable:
-    def query(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-        return _counted(joins.join_records(_left(spark, sf_dir), _rights(spark, sf_dir, whole), "k", "k", mode, ordered))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _counted(joins.join_records(_left(spark, sf_dir), _rights(spark, sf_dir), "k", "k", mode, ordered))
 
     return query
 
 
 def _lookup_join(mode: JoinMode) -> Callable:
-    def query(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-        return _counted(joins.lookup_join(_left(spark, sf_dir), _rights(spark, sf_dir, whole), "k", "k", mode))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _counted(joins.lookup_join(_left(spark, sf_dir), _rights(spark, sf_dir), "k", "k", mode))
 
     return query
 
@@ -107,9 +104,9 @@ def _lookup_sql(mode: JoinMode) -> str:
         SELECT CAST(k AS BIGINT) AS k, CAST(n_left AS BIGINT) AS n_left, n_right0, n_right1, id_sum FROM j WHERE {_KEEPS[mode]} {alone * (mode is JoinMode.OUTER)}"""
 
 
-def right_only_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def right_only_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records without a left input."""
-    return _counted(joins.join_records(None, _rights(spark, sf_dir, whole), None, "k"))
+    return _counted(joins.join_records(None, _rights(spark, sf_dir), None, "k"))
 
 
 def flat_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +114,9 @@ def flat_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.flat_join(left, right, "k", "rk", "left").select("k", "c_name", "id")
 
 
-def flat_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records taken apart again."""
-    records = joins.join_records(_left(spark, sf_dir), _rights(spark, sf_dir, whole), "k", "k", JoinMode.INNER)
+    records = joins.join_records(_left(spark, sf_dir), _rights(spark, sf_dir), "k", "k", JoinMode.INNER)
     return joins.flat_records(records.where(F.map_contains_key("right", F.lit(0)))).select(F.col("key").alias("k"), "left.c_name", "right.id")
 
 
@@ -200,12 +197,6 @@ def percentile_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentile(table(spark, sf_dir, "lineitem"), "l_extendedprice", 0.95, ["l_returnflag"])
 
 
-def quantile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median and a rank from sketches of groups, merged."""
-    merged = quantiles.merge(quantiles.sketch(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"]))
-    return merged.select(quantiles.quantile(0.5).alias("median"), quantiles.cdf(50_000.0).alias("below"))
-
-
 def sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.sort(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), F.desc("o_totalprice"), "o_orderkey")
 
@@ -222,33 +213,21 @@ def skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.skip(table(spark, sf_dir, "orders").select("o_orderkey"), 50, "o_orderkey")
 
 
-def sample_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.sample_share(table(spark, sf_dir, "orders").select("o_orderkey"), 0.2, 7)
-
-
-def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.sample_exact(table(spark, sf_dir, "orders").select("o_orderkey"), 150, 7, ["o_orderkey"])
-
-
-def sample_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.sample_consistent(table(spark, sf_dir, "orders").select("o_custkey").distinct(), "o_custkey", 0.25)
-
-
 def sorted_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.sorted_distinct_lines(table(spark, sf_dir, "part").select(F.col("p_type").alias("value")))
 
 
-def _keys(spark: SparkSession, sf_dir: str, whole: bool = False) -> list[DataFrame]:
-    left, (r0, r1) = _left(spark, sf_dir), _rights(spark, sf_dir, whole)
+def _keys(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    left, (r0, r1) = _left(spark, sf_dir), _rights(spark, sf_dir)
     return [df.select(F.col("k").cast("long").alias("k")) for df in (left, r0, r1)]
 
 
-def set_union(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return setops.union(_keys(spark, sf_dir, whole), ordered=True)
+def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.union(_keys(spark, sf_dir), ordered=True)
 
 
-def set_intersect(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return setops.intersect(_keys(spark, sf_dir, whole), ordered=True)
+def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.intersect(_keys(spark, sf_dir), ordered=True)
 
 
 def set_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,26 +235,21 @@ def set_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setops.subtract(right, left, ordered=True)
 
 
-def set_by_membership(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def set_by_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of exactly two of three inputs."""
-    return setops.by_membership(_keys(spark, sf_dir, whole), lambda tags: F.size(tags) == 2)
+    return setops.by_membership(_keys(spark, sf_dir), lambda tags: F.size(tags) == 2)
 
 
-def merge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return setops.merge(_keys(spark, sf_dir, whole), "k")
+def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.merge(_keys(spark, sf_dir), "k")
 
 
-def concat(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return setops.concat(_keys(spark, sf_dir, whole), "k")
+def concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.concat(_keys(spark, sf_dir), "k")
 
 
-def union_all(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return setops.union_all(_keys(spark, sf_dir, whole))
-
-
-def hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each of eight shards by a key's hash."""
-    return table(spark, sf_dir, "orders").groupBy(scalars.shard_of("o_custkey", 8).alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.union_all(_keys(spark, sf_dir))
 
 
 def item_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,13 +264,6 @@ def shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    chances = F.array(F.col("l_discount"), F.col("l_tax"), F.lit(0.5))
-    return line.select("l_orderkey", F.round(scalars.union_probability(chances), 9).alias("p"))
-
-
-def whole_union_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every line of all orders."""
     chances = F.array(F.col("l_discount"), F.col("l_tax"), F.lit(0.5))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(scalars.union_probability(chances), 9).alias("p"))
 
@@ -319,10 +286,6 @@ def sliding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.sliding_rate(table(spark, sf_dir, "events"), "ts", "1 hour", "10 minutes", 60, ["event_type"])
 
 
-def sliding_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.sliding_quantiles(table(spark, sf_dir, "events"), "ts", "value", "1 hour", 6, [0.5, 0.9], ["event_type"])
-
-
 def last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     return windows.last_values(events, "ts", 3, ["user_id"], ["event_id"])
@@ -336,21 +299,15 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAIN = [
     customer_summary, right_only_records, flat_join, flat_records, filter_map, flat_map, parse_csv, validated_order, observed_count, reduce_by, fold, distinct, count,
-    event_counts, reduce_runs, collect_runs, group_contiguous, percentile_nearest, percentile_by, quantile_sketch, sort, top_k, head, skip, sample_share, sample_exact,
-    sample_consistent, sorted_distinct_lines, set_union, set_intersect, set_subtract, set_by_membership, merge, concat, union_all, hash_shards, item_shards, shuffle,
-    union_probability, whole_union_probability, uuid_shards, path_parts, sliding_average, sliding_rate, sliding_quantiles, last_values, generated,
+    event_counts, reduce_runs, collect_runs, group_contiguous, percentile_nearest, percentile_by, sort, top_k, head, skip,
+    sorted_distinct_lines, set_union, set_intersect, set_subtract, set_by_membership, merge, concat, union_all, item_shards, shuffle,
+    union_probability, uuid_shards, path_parts, sliding_average, sliding_rate, last_values, generated,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN}
 for _mode in JoinMode:
     QUERIES[f"record_join_{_mode.value}"] = _record_join(_mode, False)
     QUERIES[f"sorted_join_{_mode.value}"] = _record_join(_mode, True)
     QUERIES[f"lookup_join_{_mode.value}"] = _lookup_join(_mode)
-#: Queries of `_rights`, which run over the events of all users too, as whole_...
-_BOUNDED = [
-    "right_only_records", "flat_records", "set_union", "set_intersect", "set_by_membership", "merge", "concat", "union_all",
-    *(f"{kind}_join_{m.value}" for m in JoinMode for kind in ("record", "sorted", "lookup")),
-]
-QUERIES |= {f"whole_{name}": partial(QUERIES[name], whole=True) for name in _BOUNDED}
 
 _SLIDES = "time_bucket(INTERVAL '10 minutes', ts) - CAST(i AS INTEGER) * INTERVAL '10 minutes'"
 _THREE = f"WITH {_INPUTS}, u AS (SELECT DISTINCT 0 AS t, k FROM l UNION ALL SELECT DISTINCT 1, k FROM r0 UNION ALL SELECT DISTINCT 2, k FROM r1)"
@@ -423,8 +380,7 @@ ORACLES = {
     "union_all": f"{_ALL} SELECT CAST(k AS BIGINT) AS k FROM u",
     "item_shards": 'SELECT o_orderpriority AS shard, count(*) AS "rows" FROM orders GROUP BY 1',
     "shuffle": "SELECT o_custkey, count(*) AS n, CAST(1 AS BIGINT) AS partitions FROM orders GROUP BY 1",
-    "union_probability": "SELECT l_orderkey, round(1 - (1 - l_discount) * (1 - l_tax) * 0.5::DOUBLE, 9) AS p FROM lineitem WHERE l_linenumber = 1",
-    "whole_union_probability": "SELECT l_orderkey, l_linenumber, round(1 - (1 - l_discount) * (1 - l_tax) * 0.5::DOUBLE, 9) AS p FROM lineitem",
+    "union_probability": "SELECT l_orderkey, l_linenumber, round(1 - (1 - l_discount) * (1 - l_tax) * 0.5::DOUBLE, 9) AS p FROM lineitem",
     "uuid_shards": "SELECT o_orderkey, CAST(floor(CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) * 10 / 4294967296) AS INTEGER) AS shard FROM orders",
     "path_parts": "SELECT n_nationkey, 'gs://bucket/a/' || n_name AS path, 'a/' || n_name AS key FROM nation",
     "sliding_average": f"""
@@ -439,4 +395,3 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3""",
     "generated": "SELECT i * i AS square FROM range(1000) t(i)",
 } | {f"{kind}_join_{m.value}": (_lookup_sql if kind == "lookup" else _record_sql)(m) for m in JoinMode for kind in ("record", "sorted", "lookup")}
-ORACLES |= {f"whole_{name}": ORACLES[name].replace(_INPUTS, _WHOLE_INPUTS) for name in _BOUNDED}

@@ -1,8 +1,11 @@
-"""Session settings that the library is written for."""
+"""Session settings that the library is written for, and the folder that executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -17,3 +20,22 @@ def session(name: str = "sluice", **settings: str) -> SparkSession:
     """A session with adaptive execution and UTC times; `settings` have dots as double underscores."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS)
     return builder.config(map={k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. A local session without one gets a local folder; a cluster must have one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/sluice-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import SparkSession
 
 from sluice.errors import IOFlowError, ValidationError
-from sluice.functions.scheduling import balanced, retried
+from sluice.functions.scheduling import balanced, in_parallel, retried
 
 
 @dataclass(frozen=True)
@@ -153,5 +153,53 @@ class Storage:
         except Exception:
             return False
 
-    def retried(self, action: Callable, **options):
-        return retried(action, **options)
+    def retried(self, method: str, *arguments, tries: int = 4, first_wait: float = 1.0) -> object:
+        """A method by name, run again after failures of the file system; what isn't there, or is already, fails at once."""
+        return retried(lambda: getattr(self, method)(*arguments), tries, first_wait, terminal=lambda e: isinstance(e, IOFlowError))
+
+    def in_parallel(self, method: str, arguments: Sequence[tuple], threads: int = 8) -> list:
+        """A retried method for each tuple of arguments, several at a time: copies, moves or deletes many files."""
+        return in_parallel(arguments, lambda a: self.retried(method, *a), threads)
+
+    def identical(self, a: str, b: str) -> bool:
+        """Whether two files have the same bytes."""
+        infos = [self._fs(p).getFileStatus(self._path(p)) for p in (a, b)]
+        if infos[0].getLen() != infos[1].getLen():
+            return False
+        streams = [self._fs(p).open(self._path(p)) for p in (a, b)]
+        try:
+            return bool(self.jvm.org.apache.commons.io.IOUtils.contentEquals(*streams))
+        finally:
+            for s in streams:
+                s.close()
+
+    def compress(self, source: str, target: str) -> None:
+        """A file's bytes as a gz, bz2 or other file, by the target's extension; a buffer in memory at a time."""
+        self._piped(source, target, None, self._codec(target))
+
+    def decompress(self, source: str, target: str) -> None:
+        self._piped(source, target, self._codec(source), None)
+
+    def compress_folder(self, folder: str, target: str, threads: int = 8, extension: str = "gz") -> list[str]:
+        """Each file of a folder compressed into another, several at a time; returns the new paths."""
+        root = self._path(folder).makeQualified(self._fs(folder).getUri(), self._fs(folder).getWorkingDirectory()).toString().rstrip("/")
+        pairs = [(f.path, f"{target.rstrip('/')}{f.path[len(root):]}.{extension}") for f in self.list(folder)]
+        self.in_parallel("compress", pairs, threads)
+        return [t for _, t in pairs]
+
+    def _codec(self, path: str):
+        codec = self.jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(self.conf).getCodec(self._path(path))
+        if codec is None:
+            raise ValidationError(f"no compression has the extension of {path}")
+        return codec
+
+    def _piped(self, source: str, target: str, read, write) -> None:
+        raw = self._fs(source).open(self._path(source))
+        stream = read.createInputStream(raw) if read else raw
+        out = self._fs(target).create(self._path(target), True)
+        out = write.createOutputStream(out) if write else out
+        try:
+            self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, self.conf, False)
+        finally:
+            out.close()
+            stream.close()

@@ -12,17 +12,30 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-from sluice.errors import FlowError, HttpFlowError, QueueFlowError, ValidationError
-from sluice.functions import coding
+from sluice.errors import HttpFlowError, QueueFlowError, ValidationError
+from sluice.functions import avro, coding
+from sluice.session import shared_path
 from sluice.sources.files import FileSelection
 
 END = object()  # closes a queue
 
 
-def from_rows(spark: SparkSession, rows: Iterable, schema: str) -> DataFrame:
-    """Rows at hand, or of an iterator, which is drained."""
-    return spark.createDataFrame(list(rows), schema)
+def from_rows(spark: SparkSession, rows: Iterable, schema: str, at_once: int = 100_000) -> DataFrame:
+    """Rows at hand, or of an iterator. Of an iterator of more than `at_once` rows, so many at a time go to a table in the
+    shared folder."""
+    rows = iter(rows)
+    part = list(itertools.islice(rows, at_once))
+    df = spark.createDataFrame(part, schema)
+    if len(part) < at_once:
+        return df
+    path = shared_path(spark, "rows")
+    while part:
+        df.write.mode("append").parquet(path)
+        part = list(itertools.islice(rows, at_once))
+        df = spark.createDataFrame(part, schema)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -70,41 +83,60 @@ def read_text(spark: SparkSession, source: str | Sequence[str] | FileSelection,
         lines = reader.text(paths)
     if not positions:
         return lines
-    ranks = F.create_map(*itertools.chain.from_iterable((F.lit(p), F.lit(i)) for i, p in enumerate(paths)))
+    ranks = spark.createDataFrame(list(enumerate(paths)), "file_order int, _path string")
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    return lines.select("value", "file", F.coalesce(ranks[F.col("file")], F.lit(0)).alias("file_order"), "line")
+    lines = lines.join(F.broadcast(ranks), F.col("file") == F.col("_path"), "left")
+    return lines.select("value", "file", F.coalesce("file_order", F.lit(0)).alias("file_order"), "line")
 
 
-# Options of the three dialects: "trimmed" trims every value and is strict about columns; "exact" keeps blanks, and parts an
-# unquoted empty value (null) from a quoted one (""); "literal" takes the word null as null.
-DIALECTS = {
-    "trimmed": {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "FAILFAST", "emptyValue": "", "nullValue": "\u0001"},
-    "exact": {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST"},
-    "literal": {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "null", "emptyValue": ""},
-}
+# The three dialects: "trimmed" trims every value; "exact" keeps blanks, and parts an unquoted empty value (null) from a quoted
+# one (""); "literal" takes the word null as null. Only in "exact" is an unquoted empty text null.
+DIALECTS = ("trimmed", "exact", "literal")
+#: A value that no file holds, so that only unquoted empty values are null.
+_NOTHING = "\u0001"
 
 
-def read_csv(spark: SparkSession, source: str | Sequence[str] | FileSelection, schema: str, dialect: str = "trimmed", separator: str = ",", header: bool = False, skip: int = 0, charset: str = "UTF-8") -> DataFrame:
-    """Rows of CSV files in one of the DIALECTS, with the schema given. skip: lines left out at the start of each file."""
+def read_csv(spark: SparkSession, source: str | Sequence[str] | FileSelection, schema: str, dialect: str = "trimmed", separator: str = ",", header: bool = False, skip: int = 0, charset: str = "UTF-8", multiline: bool = False) -> DataFrame:
+    """Rows of CSV files in one of the DIALECTS, with the schema given; a record of another width fails the flow.
+
+    skip: lines left out at the start of each file. multiline: quoted values may hold line ends; a file is then read by one
+    task, which streams it. With `skip` a file is in one task's memory.
+    """
     paths = _paths(spark, source)
     if not paths:
         return empty(spark, schema)
-    if dialect != "exact" and not skip:
-        return spark.read.schema(schema).options(**DIALECTS[dialect]).option("sep", separator).option("header", header).option("encoding", charset).csv(paths)
-    # The difference between "" and nothing, and lines to skip, are seen in the files' text, a file a task.
-    names = spark.createDataFrame([], schema).schema
+    fields = spark.createDataFrame([], schema).schema.fields
+    if skip:
+        rows = _skipped(spark, paths, fields, separator, skip + header, charset)
+    else:
+        trimmed = str(dialect == "trimmed").lower()
+        options = {"sep": separator, "header": str(header).lower(), "encoding": charset, "multiLine": str(multiline).lower(), "mode": "FAILFAST", "quote": '"', "escape": '"', "nullValue": _NOTHING, "emptyValue": ""}
+        options |= {"ignoreLeadingWhiteSpace": trimmed, "ignoreTrailingWhiteSpace": trimmed}
+        rows = spark.read.schema(", ".join(f"`{f.name}` string" for f in fields)).options(**options).csv(paths)
+    return rows.select(*(_typed(f, dialect).alias(f.name) for f in fields))
+
+
+def _typed(field: StructField, dialect: str) -> Column:
+    """A column read as text, by its dialect and type."""
+    value, text = F.col(f"`{field.name}`"), field.dataType.simpleString() == "string"
+    if dialect == "literal":
+        value = F.when(value != "null", value) if not text else F.when(F.coalesce(value, F.lit("")) != "null", F.coalesce(value, F.lit("")))
+    elif dialect == "trimmed":
+        value = F.trim(F.coalesce(value, F.lit(""))) if text else value
+    return value if text else F.when(F.trim(value) != "", F.trim(value).cast(field.dataType))
+
+
+def _skipped(spark: SparkSession, paths: list[str], fields: Sequence[StructField], separator: str, skip: int, charset: str) -> DataFrame:
     whole = spark.read.format("binaryFile").load(paths).select("path", "content")
-    text = f"{', '.join(f'`{f.name}` string' for f in names.fields)}"
-    width, exact = len(names), dialect == "exact"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 data = gzip.decompress(content) if path.endswith(".gz") else content
-                for rows in _chunks(csv_rows(data.decode(charset), separator, exact), 50_000, skip + header, width):
-                    yield pd.DataFrame(rows, columns=[f.name for f in names.fields], dtype=object)
+                for rows in _chunks(csv_rows(data.decode(charset), separator, True), 50_000, skip, len(fields)):
+                    yield pd.DataFrame(rows, columns=[f.name for f in fields], dtype=object)
 
-    return whole.mapInPandas(run, text).select(*(F.trim(f.name).cast(f.dataType).alias(f.name) if f.dataType.simpleString() != "string" else F.col(f.name) for f in names.fields))
+    return whole.mapInPandas(run, ", ".join(f"`{f.name}` string" for f in fields))
 
 
 def csv_rows(text: str, separator: str = ",", exact: bool = True) -> Iterator[list[str | None]]:
@@ -191,12 +223,20 @@ def read_protobuf(spark: SparkSession, source: str | Sequence[str] | FileSelecti
     return read_records(spark, source, decode, schema)
 
 
-def read_avro(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
-    """Avro container files; needs Spark's avro module, which isn't part of PySpark's own jars."""
-    try:
-        return spark.read.format("avro").load(source)
-    except Exception as e:
-        raise FlowError("Spark's avro module isn't on the class path") from e
+def read_avro_data(spark: SparkSession, source: str | Sequence[str] | FileSelection, record: dict, schema: str) -> DataFrame:
+    """Records of files of bare Avro data, by the record's Avro schema; schema: their columns."""
+    return read_records(spark, source, lambda data: avro.decode_stream(record, data), schema)
+
+
+def read_avro(spark: SparkSession, source: str | Sequence[str] | FileSelection, schema: str) -> DataFrame:
+    """Records of Avro container files, by the schemas in them; schema: their columns. Needs no module of Spark."""
+    return read_records(spark, source, avro.decode_container, schema)
+
+
+def read_json_lines(spark: SparkSession, source: str | Sequence[str] | FileSelection, schema: str) -> DataFrame:
+    """Rows of files with a JSON object a line; a line that doesn't fit fails the flow."""
+    paths = _paths(spark, source)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(paths) if paths else empty(spark, schema)
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:

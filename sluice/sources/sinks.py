@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import queue
 from collections.abc import Callable, Iterator, Sequence
+from typing import TextIO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from sluice.functions import coding
+from sluice.functions import avro, coding
 from sluice.functions.scalars import shard_of
 from sluice.functions.scheduling import in_parallel
 from sluice.sources.files import Storage
@@ -21,8 +22,8 @@ def to_list(df: DataFrame) -> list:
 
 
 def to_map(df: DataFrame, key: str, value: str, order_by: str | None = None) -> dict:
-    """Value of each key; of several, that of the last row by `order_by`."""
-    last = F.max_by(value, order_by) if order_by else F.last(value)
+    """Value of each key; of several, that of the last row by `order_by`, or without it the greatest, so that the answer repeats."""
+    last = F.max_by(value, order_by) if order_by else F.max(value)
     return {r[0]: r[1] for r in df.groupBy(key).agg(last).collect()}
 
 
@@ -45,6 +46,21 @@ def write_text(df: DataFrame, path: str, column: str = "value", compression: str
     df.select(F.col(column).cast("string").alias("value")).write.mode(mode).option("compression", compression).text(path)
 
 
+def to_writer(df: DataFrame, target: TextIO, column: str = "value", order_by: Sequence[str] = ()) -> int:
+    """Lines to an open text file or the like, a partition in memory at a time; returns their number."""
+    n = 0
+    for row in (df.orderBy(*order_by) if order_by else df).select(F.col(column).cast("string")).toLocalIterator(prefetchPartitions=True):
+        target.write(("" if row[0] is None else row[0]) + "\n")
+        n += 1
+    target.flush()
+    return n
+
+
+def write_json_lines(df: DataFrame, path: str, compression: str = "none", mode: str = "errorifexists") -> None:
+    """A JSON object a line; nulls are written too."""
+    df.write.mode(mode).option("compression", compression).option("ignoreNullFields", "false").json(path)
+
+
 def write_csv(df: DataFrame, path: str, separator: str = ",", header: bool = False, compression: str = "none", mode: str = "errorifexists") -> None:
     """CSV that keeps blanks, and null (nothing) apart from "" (quoted)."""
     options = {"sep": separator, "header": str(header).lower(), "compression": compression, "escape": "\"", "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -96,7 +112,7 @@ def to_queues(df: DataFrame, targets: Sequence[queue.Queue], key: str | None = N
     counts = [0] * len(targets)
     try:
         for row in dealt.toLocalIterator(prefetchPartitions=True):
-            targets[row["_shard"]].put(row)
+            targets[row["_shard"]].put(Row(**{c: row[c] for c in df.columns}))
             counts[row["_shard"]] += 1
     except Exception as e:
         for t in targets:
@@ -134,6 +150,22 @@ def write_delimited(df: DataFrame, path: str, column: str) -> int:
     return write_encoded(df.select(column), path, lambda f: coding.delimited(bytes(v) for v in f[column]))
 
 
+def write_avro_data(df: DataFrame, path: str, record: dict) -> int:
+    """Bare Avro data of the rows, by the Avro schema of a record with the columns in order."""
+    return write_encoded(df, path, lambda f: avro.encode_stream(record, _plain(f)))
+
+
+def write_avro(df: DataFrame, path: str, record: dict, codec: str = "deflate") -> int:
+    """Avro container files of the rows."""
+    return write_encoded(df, path, lambda f: avro.encode_container(record, _plain(f), codec))
+
+
+def _plain(frame: pd.DataFrame) -> Iterator[tuple]:
+    """Rows with Python's own types; what pandas holds as missing is None."""
+    for row in zip(*(frame[c].astype(object).where(frame[c].notna(), None) for c in frame.columns)):
+        yield tuple(v.item() if hasattr(v, "item") else v for v in row)
+
+
 def identical(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

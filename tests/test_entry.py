@@ -5,21 +5,22 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sluice.plans import catalog
+from sluice.plans import catalog, io_catalog
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalog.QUERIES | io_catalog.QUERIES, catalog.ORACLES | io_catalog.ORACLES
 
 
 def rounded(row):
     return tuple(round(v, 9) if isinstance(v, float) else v for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
-    got, want = catalog.QUERIES[name](spark, DATA), con.sql(catalog.ORACLES[name])
+    got, want = QUERIES[name](spark, DATA), con.sql(ORACLES[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     place = [want.columns.index(c) for c in columns]
@@ -31,6 +32,5 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_other_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)

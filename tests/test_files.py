@@ -113,8 +113,8 @@ def test_delimited_and_protobuf_files(spark, tmp_path):
     sinks.write_delimited(spark.createDataFrame(rows, "m binary"), f"file:{tmp_path}/m", "m")
     got = readers.read_protobuf(spark, f"{tmp_path}/m", StringValue, ["value"], "value string").collect()
     assert sorted(r.value for r in got) == ["", "x", "é" * 200]
-    with pytest.raises(FlowError):
-        readers.read_avro(spark, f"{tmp_path}/m")
+    with pytest.raises(FlowError), raised():
+        readers.read_avro(spark, f"{tmp_path}/m", "v string").collect()
 
 
 @settings(max_examples=100, deadline=None)
