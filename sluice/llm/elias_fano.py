@@ -9,7 +9,6 @@ a successor search in the range of that context's children.
 from __future__ import annotations
 
 import os
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,8 +124,8 @@ class Trie:
     contexts (in the level above), the ids of the last words, and log10 probabilities, sorted by context and word.
     """
 
-    def __init__(self, words: np.ndarray, log10: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], folder: str | None = None) -> None:
-        self.folder = folder or tempfile.mkdtemp(prefix="trie-")
+    def __init__(self, words: np.ndarray, log10: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], folder: str) -> None:
+        self.folder = folder
         self.words = EliasFano(words, self.folder, "words")
         self.probabilities = _mapped(quantised(log10), self.folder, "1.p")
         self.levels: list[Level] = []
@@ -151,7 +150,9 @@ class Trie:
         level = self.levels[order - 2]
         out = np.full(len(context), -1, np.int64)
         able = np.flatnonzero((context >= 0) & (word >= 0))
-        begin, end = level.pointers.get(context[able]).astype(np.int64), level.pointers.get(context[able] + 1).astype(np.int64)
+        # Each context is looked up once, and mostly in rising order.
+        asked, of = np.unique(context[able], return_inverse=True)
+        begin, end = level.pointers.get(asked).astype(np.int64)[of], level.pointers.get(asked + 1).astype(np.int64)[of]
         able, begin, end = able[begin < end], begin[begin < end], end[begin < end]
         if len(able):
             x = context[able].astype(np.uint64) * self.width + word[able].astype(np.uint64)
@@ -162,12 +163,14 @@ class Trie:
             out[able[good]] = at[good]
         return out
 
-    def log10(self, order: int, place: np.ndarray) -> np.ndarray:
+    def steps(self, order: int, place: np.ndarray) -> np.ndarray:
+        """Log10 probabilities as quantised: non-negative steps of -1/STEPS."""
         p = self.probabilities if order == 1 else self.levels[order - 2].probabilities
-        return np.asarray(p[place]).astype(np.float64) / -STEPS
+        return np.asarray(p[place]).astype(np.int64) if len(p) else np.zeros(len(place), np.int64)
 
-    def close(self) -> None:
-        import shutil
+    def log10(self, order: int, place: np.ndarray) -> np.ndarray:
+        return self.steps(order, place) / -STEPS
 
+    def close(self) -> None:
+        """Lets go of the files, which whoever made the folder deletes."""
         self.words = self.levels = self.probabilities = None
-        shutil.rmtree(self.folder, ignore_errors=True)

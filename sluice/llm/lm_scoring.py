@@ -1,18 +1,22 @@
-"""Scoring of texts with a corpus-wide n-gram model in Elias-Fano tries.
+"""Scoring of texts with a corpus-wide three-gram model in Elias-Fano tries.
 
 Counts cover all training documents, and no task or driver ever holds the whole model. Documents are dealt into chunks.
 A chunk asks for the corpus counts of the n-grams that its own documents hold: for each range of hashes it sends its
 sorted distinct n-grams with their counts in its training documents. The task of a range adds up what all chunks sent and
-answers each with the totals of what it asked for. A chunk then builds the part of the model that its documents need, as an
+answers each with the totals of what it asked for. A chunk then builds the model, filtered to the n-grams of its texts, as an
 Elias-Fano trie of memory-mapped levels, and scores its documents by successor searches under each context.
 
-The model: p(w) = (c(w) + a) / (N + a (V + 1)), and p(w | v) = (c(v w) + m p(w)) / (c(v) + m), which both sum to one; a
-text's start is the context of its first word. Its order is two, as asking for every distinct three-gram would move more
-than twice the input.
+The model, which sums to one at each level (hierarchical Dirichlet smoothing): p(w) = (c(w) + a) / (N + a (V + 1)),
+p(w | v) = (c(v w) + m2 p(w)) / (c(v) + m2), p(w | u v) = (c(u v w) + m3 p(w | v)) / (c(u v) + m3). Two starts stand before
+a text's first word. N-grams of two and three words are told apart by 56 bits of a hash: at 10^13 different ones, one in
+7,000 shares another's counts.
 """
 
 from __future__ import annotations
 
+import tempfile
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,10 +27,15 @@ from sluice.llm import kernels as K
 from sluice.llm.elias_fano import STEPS, Trie, quantised
 
 ADDED = 0.1
-MASS = 500.0
-CHUNK_BYTES, MOST_CHUNK_BYTES, RANGE_BYTES = 6 << 20, 256 << 20, 16 << 20
-#: Hashes of the end of a text and of the context of its first word.
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: m2 and m3, by the likelihood of held-out texts at sf0.1 (-3.38 a token; -3.58 with two words and m2 500 alone).
+MASSES = (200.0, 2.0)
+#: Bytes of text in a chunk and in a range: of small inputs, and at most.
+CHUNK_BYTES, MOST_CHUNK_BYTES, RANGE_BYTES = 8 << 20, 128 << 20, 24 << 20
+#: Hash of the end of a text.
+END = np.uint64(0x5851F42D4C957F2D)
+#: Hash of the starts before a text's first word.
+START = np.uint64(0x14057B7EF767814F)
+ORDER, BITS = 3, 56
 
 
 def tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,23 +53,46 @@ def tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), begin
 
 
-def contexts_of(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The token before each token; START before a text's first."""
-    before = np.concatenate([[START], h[:-1]])[: len(h)]
-    before[begin[:-1]] = START
-    return before
+@dataclass
+class Grams:
+    """The different n-grams of some texts, by order, in the order of their contexts and last words.
 
+    context, word: of each, the place of its context among the n-grams one shorter (that of starts alone is their number),
+    and of its last word among the words. key: its hash. of: for each token, the place of the n-gram that ends there.
+    """
 
-def pairs_of(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return K.mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
+    context: list[np.ndarray]
+    word: list[np.ndarray]
+    key: list[np.ndarray]
+    of: list[np.ndarray]
+
+
+def grams_of(h: np.ndarray, begin: np.ndarray) -> Grams:
+    words, of = np.unique(h, return_inverse=True)
+    out = Grams([np.zeros(len(words), np.int64)], [np.arange(len(words))], [words >> np.uint64(64 - BITS)], [of])
+    whole, last = words, np.append(words, START)
+    for n in range(2, ORDER + 1):
+        above = len(last) - 1
+        before = np.empty(len(h), np.int64)
+        before[1:] = out.of[-1][:-1]
+        before[begin[:-1]] = above  # starts alone
+        both, first, of = np.unique(before * len(words) + out.of[0], return_index=True, return_inverse=True)
+        context, word = both // max(len(words), 1), both % max(len(words), 1)
+        whole = K.mix(last[context] * np.uint64(0x9E3779B97F4A7C15) + words[word])
+        out.context.append(context)
+        out.word.append(word)
+        out.key.append(whole >> np.uint64(64 - BITS))
+        out.of.append(of)
+        last = np.append(whole, START)
+    return out
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted keys as gaps of 6 bytes, or of 8 where one is wider."""
+    """Sorted keys as gaps of as many bytes as the widest needs."""
     if not len(keys):
         return b""
     gaps = np.diff(keys)
-    width = 6 if not len(gaps) or int(gaps.max()) < 1 << 48 else 8
+    width = max(1, -(-int(gaps.max()).bit_length() // 8)) if len(gaps) else 1
     packed = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     return bytes([width]) + keys[:1].astype("<u8").tobytes() + packed.tobytes()
 
@@ -90,20 +122,22 @@ def unpack_counts(blob: bytes) -> np.ndarray:
 
 def _range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each of `ranges` equal ranges of the hashes begins among sorted keys, and the end."""
-    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    edges = np.array([(i << BITS) // ranges for i in range(1, ranges)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
 def _requests(table: pa.Table, ranges: int) -> pa.Table:
     h, begin = tokens_of(table.column("text"))
     train = np.repeat(table.column("train").to_numpy(), np.diff(begin))
+    grams = grams_of(h, begin)
     keys, counts = [[] for _ in range(ranges)], [[] for _ in range(ranges)]
-    for grams in (h, pairs_of(contexts_of(h, begin), h)):
-        u, which = np.unique(grams, return_inverse=True)
-        n = np.bincount(which[train], minlength=len(u))
-        cuts = _range_cuts(u, ranges)
+    for key, of in zip(grams.key, grams.of):
+        n = np.bincount(of[train], minlength=len(key))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        cuts = _range_cuts(key, ranges)
         for r in range(ranges):
-            keys[r].append(pack_sorted(u[cuts[r] : cuts[r + 1]]))
+            keys[r].append(pack_sorted(key[cuts[r] : cuts[r + 1]]))
             counts[r].append(pack_counts(n[cuts[r] : cuts[r + 1]]))
     chunk = table.column("chunk")[0].as_py()
     binaries = pa.list_(pa.binary())
@@ -111,17 +145,14 @@ def _requests(table: pa.Table, ranges: int) -> pa.Table:
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-    out: list[list[bytes]] = [[] for _ in keys]
+    keys, counts = table.column("keys"), table.column("counts")
+    out: list[list[bytes]] = [[] for _ in range(len(table))]
     types = tokens = 0
-    for n in range(2):
-        parts = [unpack_sorted(k[n]) for k in keys]
+    for n in range(ORDER):
+        parts = [unpack_sorted(k[n].as_py()) for k in keys]
         u, which = np.unique(np.concatenate(parts), return_inverse=True)
-        totals = np.zeros(len(u), np.int64)
-        at = 0
-        for i, p in enumerate(parts):  # a chunk's keys are distinct
-            totals[which[at : at + len(p)]] += unpack_counts(counts[i][n])
-            at += len(p)
+        own = np.concatenate([unpack_counts(c[n].as_py()) for c in counts])
+        totals = np.bincount(which, own, len(u)).astype(np.int64)
         at = 0
         for i, p in enumerate(parts):
             out[i].append(pack_counts(totals[which[at : at + len(p)]]))
@@ -139,38 +170,87 @@ def _answers(table: pa.Table) -> pa.Table:
     )
 
 
-def _scores(docs: pa.Table, answers: pa.Table, added: float, mass: float) -> pa.Table:
+def _totals(grams: Grams, answers: pa.Table) -> list[np.ndarray]:
+    """The corpus counts of the n-grams of each order."""
+    blobs, out = answers.column("totals").to_pylist(), []
+    for n, key in enumerate(grams.key):
+        total = np.empty(len(key), np.int64)
+        total[np.argsort(key, kind="stable")] = np.concatenate([unpack_counts(b[n]) for b in blobs])
+        out.append(total)
+    return out
+
+
+def _trie(folder: str, words: np.ndarray, grams: Grams, totals: list[np.ndarray], starts: int, p1: np.ndarray, masses: tuple[float, ...]) -> tuple[Trie, list[np.ndarray]]:
+    """The trie of the n-grams that occur in the corpus, and of each order but the last the log weights of falling back."""
+    # Words by hash, with the start at its place; `place` leads from the place among the n-grams to that in the trie's level.
+    seen = np.flatnonzero(totals[0])
+    level = np.append(words[seen], START)
+    order = np.argsort(level)
+    place = np.full(len(words) + 1, -1, np.int64)
+    place[np.append(seen, len(words))[order]] = np.arange(len(order))
+    id_of = place
+    logs = np.append(np.log10(p1[seen]), 0.0)[order]
+    counts = np.append(totals[0][seen], starts)[order]
+    levels, weights, lower = [], [], p1
+    for n in range(1, ORDER):
+        mass = masses[n - 1]
+        weights.append(np.log10(mass / (counts + mass)))
+        held = np.flatnonzero(totals[n])
+        context, word = grams.context[n][held], grams.word[n][held]
+        above = np.append(totals[n - 1], starts)[grams.context[n]]
+        if n > 1:  # the n-gram without its first word
+            below = np.empty(len(grams.key[n]), np.int64)
+            below[grams.of[n]] = grams.of[n - 1]
+            lower = lower[below]
+        else:
+            lower = lower[grams.word[n]]
+        p = (totals[n] + mass * lower) / (above + mass)
+        at, ids = place[context], id_of[word]
+        logs_n, counts = np.log10(p[held]), totals[n][held]
+        if n + 1 < ORDER:  # starts alone are a context of the next order
+            at, ids = np.append(at, id_of[len(words)] if n == 1 else at[-1:]), np.append(ids, id_of[len(words)])
+            logs_n, counts = np.append(logs_n, 0.0), np.append(counts, starts)
+        order_n = np.lexsort((ids, at))
+        levels.append((at[order_n], ids[order_n], logs_n[order_n]))
+        place = np.full(len(grams.key[n]) + 1, -1, np.int64)
+        place[np.append(held, len(grams.key[n]))[order_n] if n + 1 < ORDER else held[order_n]] = np.arange(len(order_n))
+        counts = counts[order_n]
+        lower = p
+    return Trie(level[order], logs, levels, folder), weights
+
+
+def _scores(docs: pa.Table, answers: pa.Table, added: float, masses: tuple[float, ...]) -> pa.Table:
     """Scores of a chunk's documents from the totals of the n-grams it asked for."""
     h, begin = tokens_of(docs.column("text"))
-    before = contexts_of(h, begin)
+    grams = grams_of(h, begin)
     answers = answers.sort_by("part")
     n, v = (int(np.sum(answers.column(c).to_numpy())) for c in ("tokens", "types"))
-    blobs = answers.column("totals").to_pylist()
-    single, pair = (np.concatenate([unpack_counts(b[k]) for b in blobs]) for k in range(2))
-    words, which = np.unique(h, return_inverse=True)
-    _, where, which_pair = np.unique(pairs_of(before, h), return_index=True, return_inverse=True)
-    p = (single + added) / (n + added * (v + 1))
-    base = np.log10(p)
-
-    # The part of the trie that this chunk needs. START is a word that only stands first.
-    seen = single > 0
-    keys = np.append(words[seen], START)
-    count = np.append(single[seen], single[words == END].sum())
-    order = np.argsort(keys)
-    keys, count, log10 = keys[order], count[order], np.append(base[seen], 0.0)[order]
-    held = np.flatnonzero(pair > 0)
-    context, word = np.searchsorted(keys, before[where[held]]), np.searchsorted(keys, h[where[held]])
-    logs = np.log10((pair[held] + mass * p[which[where[held]]]) / (count[context] + mass))
-    order = np.lexsort((word, context))
-    trie = Trie(keys, log10, [(context[order], word[order], logs[order])])
-    try:
-        weight = quantised(np.log10(mass / (count + mass)))  # of falling back from each context
-        ids, contexts = trie.word_ids(h[where]), trie.word_ids(before[where])
-        place = trie.child(2, contexts, ids)
-        unseen = np.log10(added / (n + added * (v + 1)))
-        fall = np.where(contexts >= 0, weight[np.maximum(contexts, 0)] / -STEPS, 0.0) + np.where(ids >= 0, trie.log10(1, np.maximum(ids, 0)), unseen)
-        score = np.where(place >= 0, trie.log10(2, np.maximum(place, 0)) if len(held) else 0.0, fall)
-    finally:
+    totals = _totals(grams, answers)
+    words = np.zeros(len(grams.key[0]), np.uint64)
+    words[grams.of[0]] = h
+    p1 = (totals[0] + added) / (n + added * (v + 1))
+    base = np.log10(p1)
+    starts = int(totals[0][words == END].sum())
+    with tempfile.TemporaryDirectory(prefix="trie-") as folder:
+        trie, weights = _trie(folder, words, grams, totals, starts, p1, masses)
+        weights = [quantised(w).astype(np.int64) for w in weights]
+        # Level by level from what has been found above: steps of the log of each n-gram, and its place, or -1.
+        ids = np.append(trie.word_ids(words), trie.word_ids(np.array([START]))[0])
+        unseen = int(quantised(np.log10(np.array([added / (n + added * (v + 1))])))[0])
+        steps = np.where(ids >= 0, trie.steps(1, np.maximum(ids, 0)), unseen)[:-1]
+        place = ids
+        for k in range(1, ORDER):
+            context = place[grams.context[k]]
+            found = trie.child(k + 1, context, ids[grams.word[k]])
+            if k > 1:
+                below = np.empty(len(context), np.int64)
+                below[grams.of[k]] = grams.of[k - 1]
+            else:
+                below = grams.word[k]
+            fall = np.where(context >= 0, weights[k - 1][np.maximum(context, 0)], 0) + steps[below]
+            steps = np.where(found >= 0, trie.steps(k + 1, np.maximum(found, 0)), fall) if len(weights[k - 1]) else fall
+            if k + 1 < ORDER:
+                place = np.append(found, trie.child(k + 1, ids[-1:], ids[-1:])[0])
         trie.close()
     first = begin[:-1]
     return pa.table(
@@ -178,15 +258,15 @@ def _scores(docs: pa.Table, answers: pa.Table, added: float, mass: float) -> pa.
             "doc_id": docs.column("doc_id"),
             "held_out": pa.array(~docs.column("train").to_numpy(), pa.bool_()),
             "n_tokens": pa.array(np.diff(begin), pa.int64()),
-            "n_known": pa.array(np.add.reduceat((single > 0)[which].astype(np.int64), first), pa.int64()),
+            "n_known": pa.array(np.add.reduceat((totals[0] > 0)[grams.of[0]].astype(np.int64), first), pa.int64()),
             "train_tokens": pa.array(np.full(len(first), n), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(base[which], first), pa.float64()),
-            "score": pa.array(np.add.reduceat(score[which_pair], first), pa.float64()),
+            "base_score": pa.array(np.add.reduceat(base[grams.of[0]], first), pa.float64()),
+            "score": pa.array(np.add.reduceat(steps[grams.of[-1]], first) / -STEPS, pa.float64()),
         }
     )
 
 
-def score(docs: DataFrame, held_out: str = "pmod(crc, 10) = 0", added: float = ADDED, mass: float = MASS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: str = "pmod(crc, 10) = 0", added: float = ADDED, masses: tuple[float, float] = MASSES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row.
 
     Training rows are those for which `held_out` (crc: crc32 of the id as text, of an empty text for a null id) is not
@@ -194,9 +274,10 @@ def score(docs: DataFrame, held_out: str = "pmod(crc, 10) = 0", added: float = A
     as they stand there; without training rows every token is unseen. Only the named columns are read.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
-    size = common.input_bytes(docs, text)
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+    # Messages between chunks and ranges hold a kilobyte or so at 100 TB, so that their number doesn't matter yet.
     chunk_bytes = max(CHUNK_BYTES, min(MOST_CHUNK_BYTES, size // 4096))
-    chunks, ranges = max(16, -(-size // chunk_bytes)), max(12, -(-size // max(RANGE_BYTES, chunk_bytes)))
+    chunks, ranges = max(16, -(-size // chunk_bytes)), max(12, -(-size // max(RANGE_BYTES, 2 * chunk_bytes)))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),
@@ -206,4 +287,4 @@ def score(docs: DataFrame, held_out: str = "pmod(crc, 10) = 0", added: float = A
     asked = rows.groupBy("chunk").applyInArrow(lambda t: _requests(t, ranges), "part int, chunk int, keys array<binary>, counts array<binary>")
     answered = asked.groupBy("part").applyInArrow(_answers, "chunk int, part int, types long, tokens long, totals array<binary>")
     out = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(lambda d, a: _scores(d, a, added, mass), out)
+    return rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(lambda d, a: _scores(d, a, added, masses), out)

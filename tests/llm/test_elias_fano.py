@@ -18,7 +18,7 @@ def test_round_trip_and_successor(tmp_path_factory, values, probes):
 
 
 @pytest.mark.parametrize("n", [0, 1, 500])
-def test_trie_finds_what_it_holds(n):
+def test_trie_finds_what_it_holds(n, tmp_path):
     rng = np.random.default_rng(n)
     words = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, max(n, 1), (3 * n, 2))} if n else [])
@@ -26,7 +26,7 @@ def test_trie_finds_what_it_holds(n):
     triples = sorted({(i, int(w)) for i, w in zip(rng.integers(0, max(len(pairs), 1), n), rng.integers(0, max(n, 1), n))}) if n else []
     one, two, three = -rng.random(len(words)) * 9, -rng.random(len(pairs)) * 9, -rng.random(len(triples)) * 9
     column = lambda rows, k: np.array([r[k] for r in rows], np.int64)
-    trie = Trie(words, one, [(column(pairs, 0), column(pairs, 1), two), (column(triples, 0), column(triples, 1), three)])
+    trie = Trie(words, one, [(column(pairs, 0), column(pairs, 1), two), (column(triples, 0), column(triples, 1), three)], str(tmp_path))
     assert trie.word_ids(words).tolist() == list(range(len(words)))
     assert trie.word_ids(np.array([2**63 + 5], np.uint64)).tolist() == [-1]
     for order, rows, logs in ((2, pairs, two), (3, triples, three)):
@@ -38,8 +38,3 @@ def test_trie_finds_what_it_holds(n):
     index = {p: i for i, p in enumerate(pairs)}
     assert place.tolist() == [index.get(p, -1) for p in every]
     assert trie.child(2, np.array([-1]), np.array([0])).tolist() == [-1]
-    folder = trie.folder
-    trie.close()
-    import os
-
-    assert not os.path.exists(folder)
