@@ -5,13 +5,14 @@ sequences are put into one suffix automaton. Each document's words are streamed
 longest suffix that occurs in some item. A word is hit if an occurrence of a window covers it: `window` consecutive words
 of an item, or a whole shorter item.
 
-The automaton goes to the executors in parts of a bounded number of item words (MOST_WORDS); a larger benchmark makes
-several passes of the same batch-wise function, each with one part.
+The automaton goes to the executors in parts of a bounded number of item words (MOST_WORDS, about 60 bytes each); a larger
+benchmark makes several passes, each with one part, between which the rows are written, so that no worker holds two.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,56 +28,71 @@ MOST_WORDS = 2_000_000
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over integer sequences."""
+    """Generalised suffix automaton over sequences of numbers from 0.
+
+    In flat arrays: most states have one transition, which is held by its symbol and target; the others of a state are in a
+    dictionary of their own.
+    """
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
+        self.symbol, self.target = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
 
     def add(self, sequence: list[int]) -> None:
         last = 0
         for c in sequence:
             last = self._extend(last, c)
 
+    def following(self, state: int, c: int) -> int:
+        """The state after symbol c, or -1."""
+        if self.symbol[state] == c:
+            return self.target[state]
+        more = self.more.get(state)
+        return more.get(c, -1) if more else -1
+
+    def _lead(self, state: int, c: int, to: int) -> None:
+        if self.symbol[state] in (-1, c):
+            self.symbol[state], self.target[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
     def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
-            q = self.next[last][c]
+        if (q := self.following(last, c)) >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
-        new = self._state({}, self.length[last] + 1, 0)
+        new = self._state(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        while p >= 0 and (q := self.following(p, c)) < 0:
+            self._lead(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
         return new
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        copy = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q])
+        copy = self._state(self.length[p] + 1, self.link[q])
+        self.symbol[copy], self.target[copy] = self.symbol[q], self.target[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p >= 0 and self.following(p, c) == q:
+            self._lead(p, c, copy)
             p = self.link[p]
         return copy
 
-    def _state(self, following: dict[int, int], length: int, link: int) -> int:
-        self.next.append(following)
-        self.length.append(length)
-        self.link.append(link)
+    def _state(self, length: int, link: int) -> int:
+        for held, value in ((self.symbol, -1), (self.target, -1), (self.length, length), (self.link, link)):
+            held.append(value)
         return len(self.link) - 1
 
     def step(self, state: int, matched: int, c: int) -> tuple[int, int]:
         """State and length of the longest suffix that occurs, after one more symbol."""
-        following = self.next[state]
-        while c not in following:
+        while (to := self.following(state, c)) < 0:
             state = self.link[state]
             if state < 0:
                 return 0, 0
             matched = self.length[state]
-            following = self.next[state]
-        return following[c], matched + 1
+        return to, matched + 1
 
     def ancestor(self, state: int, size: int) -> int:
         """The state of the suffix of `size` symbols of what led to `state`."""
@@ -100,22 +116,34 @@ class Matcher:
         sequences = [ids[first[i] : first[i + 1]] for i in range(len(items))]
         for s in sequences:
             self.automaton.add(s)
-        #: By the state of a window, its items; short items apart, by their state and length.
-        self.owners: dict[int, set[str]] = {}
-        self.short: dict[tuple[int, int], set[str]] = {}
-        for (name, _), s in zip(items, sequences):
+        #: By the state of a window, its item's place, or for several -2 - the place of their set; short items by their state and length.
+        self.names = [str(name) for name, _ in items]
+        self.owner = array("i", [-1]) * len(self.automaton.link)
+        self.shared: list[set[int]] = []
+        self.short: dict[tuple[int, int], set[int]] = {}
+        for item, s in enumerate(sequences):
             if not s:
                 continue
             state = matched = 0
             for c in s:
                 state, matched = self.automaton.step(state, matched, c)
                 if matched >= window:
-                    self.owners.setdefault(self.automaton.ancestor(state, window), set()).add(str(name))
+                    self._own(self.automaton.ancestor(state, window), item)
             if len(s) < window:
-                self.short.setdefault((self.automaton.ancestor(state, len(s)), len(s)), set()).add(str(name))
+                self.short.setdefault((self.automaton.ancestor(state, len(s)), len(s)), set()).add(item)
         self.short_sizes = sorted({n for _, n in self.short})
         self.least = min([window, *self.short_sizes])
 
+    def _own(self, state: int, item: int) -> None:
+        held = self.owner[state]
+        if held < -1:
+            self.shared[-2 - held].add(item)
+        elif held == -1:
+            self.owner[state] = item
+        elif held != item:
+            self.shared.append({held, item})
+            self.owner[state] = -1 - len(self.shared)
+
     def hits(self, words: list[int], seen: set[str]) -> Iterator[tuple[int, int]]:
         """Ranges [from, to) of words that windows cover; adds the items to `seen`."""
         step, ancestor, window = self.automaton.step, self.automaton.ancestor, self.window
@@ -123,11 +151,12 @@ class Matcher:
         for i, c in enumerate(words):
             state, matched = step(state, matched, c)
             if matched >= window:
-                seen |= self.owners[ancestor(state, window)]
+                held = self.owner[ancestor(state, window)]
+                seen.update(self.names[k] for k in (self.shared[-2 - held] if held < -1 else (held,)))
                 yield i + 1 - window, i + 1
             for n in self.short_sizes:
                 if n <= matched and (found := self.short.get((ancestor(state, n), n))):
-                    seen |= found
+                    seen.update(self.names[k] for k in found)
                     yield i + 1 - n, i + 1
 
     def match(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[set[str]]]:
@@ -184,13 +213,20 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
     parts = [spark.sparkContext.broadcast(Matcher(p, window)) for p in _parts(benchmark, item_id, text)] or [
         spark.sparkContext.broadcast(Matcher([], window))
     ]
+    return _passes(out, parts, keep_text)
+
+
+def _passes(rows: DataFrame, parts: list, keep_text: bool, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One pass after the other over doc_id, text and `carried`, each from a written table."""
     for k, part in enumerate(parts):
-        out = _pass(out, part, k > 0, keep_text or k + 1 < len(parts), out.schema["doc_id"].dataType.simpleString())
-    return out
+        if k:
+            rows = common.written(rows, "decontamination-pass")
+        rows = _pass(rows, part, k > 0, keep_text or k + 1 < len(parts), carried)
+    return rows
 
 
-def _pass(docs: DataFrame, part, more: bool, keep_text: bool, id_type: str) -> DataFrame:
-    kept = f"doc_id {id_type}" + ", text string" * keep_text
+def _pass(docs: DataFrame, part, more: bool, keep_text: bool, carried: tuple[str, ...] = ()) -> DataFrame:
+    kept = ("doc_id", *(["text"] if keep_text else []), *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = part.value
@@ -204,9 +240,9 @@ def _pass(docs: DataFrame, part, more: bool, keep_text: bool, id_type: str) -> D
                 hit, items = matcher.match(h, first)
                 if more:
                     _earlier(rows, block, where, starts, first, hit, items)
-                yield _result(rows, block, where, starts, ends, first, hit, items, keep_text)
+                yield _result(rows, block, where, starts, ends, first, hit, items, kept)
 
-    return docs.mapInArrow(run, f"{kept}, {OUT}")
+    return docs.mapInArrow(run, common.schema_of(docs, kept, OUT))
 
 
 def _points(block: np.ndarray, at: np.ndarray, origin: int) -> np.ndarray:
@@ -226,7 +262,7 @@ def _earlier(rows, block, where, starts, first, hit, items) -> None:
                 hit[first[i] : first[i + 1]] |= (own >= s["start"]) & (own < s["end"])
 
 
-def _result(rows, block, where, starts, ends, first, hit, items, keep_text) -> pa.RecordBatch:
+def _result(rows, block, where, starts, ends, first, hit, items, kept: tuple[str, ...]) -> pa.RecordBatch:
     spans = []
     n_hit = K.segment_sums(hit.astype(np.int64), first)
     for i, n in enumerate(n_hit.tolist()):
@@ -238,10 +274,7 @@ def _result(rows, block, where, starts, ends, first, hit, items, keep_text) -> p
         froms = _points(block, starts[first[i] + edge[::2]], int(where[i]))
         tos = _points(block, ends[first[i] + edge[1::2] - 1], int(where[i]))
         spans.append([{"start": x, "end": y} for x, y in zip(froms.tolist(), tos.tolist())])
-    columns = {"doc_id": rows.column("doc_id")}
-    if keep_text:
-        columns["text"] = rows.column("text")
-    columns |= {
+    columns = {c: rows.column(c) for c in kept} | {
         "n_words": pa.array(np.diff(first), pa.int64()),
         "n_hit": pa.array(n_hit, pa.int64()),
         "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
@@ -268,21 +301,48 @@ def cut(text: str | None, spans: list) -> str | None:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns `carried`, n_words, n_hit, dropped: texts without hit spans, again until no window is left.
 
-    dropped: more than `most_coverage` of the words were hit, or nothing but hit words was there.
+    One row for each row; a null text stays null and is never dropped, and an empty one stays too. n_words and n_hit are of
+    the text as it came. dropped: more than `most_coverage` of its words were hit. Repeated rows are treated alike. Without
+    items nothing is cut. Only the named columns are read, so that others may clash. A benchmark of several parts makes
+    passes over written tables; texts that were cut are looked through again, the others are not.
     """
     spark = docs.sparkSession
-    matchers = [spark.sparkContext.broadcast(Matcher(p, window)) for p in _parts(benchmark, "item_id", "text")]
+    parts = [spark.sparkContext.broadcast(Matcher(p, window)) for p in _parts(benchmark, "item_id", "text")] or [spark.sparkContext.broadcast(Matcher([], window))]
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
-
+    if len(parts) == 1:
+        return _cleaned_at_once(source, parts[0], most_coverage, carried)
+    # Names that can't clash with those of the passes.
+    names = {c: f"_carried{i}" for i, c in enumerate(carried)}
+    source, carried = source.withColumnsRenamed(names), tuple(names.values())
+    kept = ("doc_id", "text", *carried)
+    # The first look tells what counts and goes; later ones cut what joined up at a cut.
+    cutting = F.udf(cut, "string", useArrow=False)
+    rows = common.written(_passes(source, parts, True, carried), "decontamination-hits")
+    dropped = (F.col("n_hit") > most_coverage * F.greatest(F.col("n_words"), F.lit(1))).alias("dropped")
+    done = [rows.where("n_hit = 0").select(*kept, "n_words", "n_hit", dropped)]
+    left = rows.where("n_hit > 0").select("doc_id", cutting("text", "spans").alias("text"), *carried, F.col("n_words").alias("_words"), F.col("n_hit").alias("_hit"))
+    more = ("_words", "_hit", *carried)
+    while True:
+        rows = common.written(_passes(left, parts, True, more), "decontamination-hits")
+        whole = rows.where("n_hit = 0").select(*kept, F.col("_words").alias("n_words"), F.col("_hit").alias("n_hit"))
+        done.append(whole.select(*kept, "n_words", "n_hit", dropped))
+        rows = rows.where("n_hit > 0")
+        if rows.isEmpty():
+            break
+        left = rows.select("doc_id", cutting("text", "spans").alias("text"), *more)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
+def _cleaned_at_once(source: DataFrame, part, most_coverage: float, carried: tuple[str, ...]) -> DataFrame:
     def once(texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         data, offsets = K.utf8(texts)
         starts, ends, first = K.spans(data, offsets, K.WORD_BYTES)
         h = K.span_hashes(data, starts, ends, K.FOLDED_VALUES)
-        hit, items = np.zeros(len(h), bool), [set() for _ in range(len(first) - 1)]
-        for m in matchers:
-            hit |= m.value.match(h, first)[0]
-        ids = pa.array(range(len(texts)), pa.int64())
-        r = _result(pa.RecordBatch.from_pydict({"doc_id": ids}), data, offsets, starts, ends, first, hit, items, False)
+        hit, items = part.value.match(h, first)
+        r = _result(pa.RecordBatch.from_pydict({"text": texts}), data, offsets, starts, ends, first, hit, items, ())
         return r.column("spans").to_pylist(), np.diff(first), r.column("n_hit").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

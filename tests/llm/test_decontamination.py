@@ -80,3 +80,41 @@ def test_empty_tables(spark):
     assert D.find(d, b).count() == 0
     d, _ = tables(spark, [(1, "some words"), (2, None)], [])
     assert [(r.n_words, r.n_hit) for r in D.find(d, b).orderBy("doc_id").collect()] == [(2, 0), (0, 0)]
+
+
+def test_cleaning_in_parts_is_cleaning_at_once(spark, monkeypatch):
+    docs, items = sample(12)
+    d, b = tables(spark, docs, items)
+    key = lambda r: (str(r.doc_id), str(r.text), r.n_words)
+    want = sorted(D.clean(d, b, carried=("items",)).collect(), key=key)
+    monkeypatch.setattr(D, "MOST_WORDS", 20)
+    got = sorted(D.clean(d, b, carried=("items",)).collect(), key=key)
+    assert got == want and any(r.n_hit for r in got) and {r.text for r in got if r.n_words == 0} >= {None, ""}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    item = " ".join(f"w{rng.randrange(50)}" for _ in range(30))
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(200_000)) + " " + item.upper() + " end"
+    d, b = tables(spark, [(1, text)], [(7, item)])
+    r = D.find(d, b).first()
+    assert (r.n_words, r["items"]) == (200_031, ["7"]) and r.n_hit >= 30
+    assert D.clean(d, b).first().text.endswith(" end")
+
+
+def test_the_automaton_is_flat():
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(100))) for i in range(300)]
+    m = D.Matcher(items)
+    held = m.automaton
+    assert len(held.link) <= 2 * 30_000 + 1 and sum(map(len, held.more.values())) < len(held.link)
+    sequences = [t.split() for _, t in items]
+    for a in (0, 17, 299):
+        w = sequences[a][5:25]
+        assert list(m.hits([m.vocabulary.tolist().index(h) for h in D.K.span_hashes(*_spans(" ".join(w)))], seen := set())) and seen == {str(a)}
+
+
+def _spans(text):
+    data, offsets = D.K.utf8(D.pa.array([text]))
+    starts, ends, _ = D.K.spans(data, offsets, D.K.WORD_BYTES)
+    return data, starts, ends, D.K.FOLDED_VALUES
