@@ -150,9 +150,10 @@ class Trie:
         level = self.levels[order - 2]
         out = np.full(len(context), -1, np.int64)
         able = np.flatnonzero((context >= 0) & (word >= 0))
-        # Each context is looked up once, and mostly in rising order.
-        asked, of = np.unique(context[able], return_inverse=True)
-        begin, end = level.pointers.get(asked).astype(np.int64)[of], level.pointers.get(asked + 1).astype(np.int64)[of]
+        # A context that stands there several times in a row is looked up once.
+        new = np.flatnonzero(np.diff(context[able], prepend=-1))
+        asked, times = context[able][new], np.diff(np.append(new, len(able)))
+        begin, end = (np.repeat(level.pointers.get(a).astype(np.int64), times) for a in (asked, asked + 1))
         able, begin, end = able[begin < end], begin[begin < end], end[begin < end]
         if len(able):
             x = context[able].astype(np.uint64) * self.width + word[able].astype(np.uint64)

@@ -30,11 +30,11 @@ ADDED = 0.1
 #: m2 and m3, by the likelihood of held-out texts at sf0.1 (-3.38 a token; -3.58 with two words and m2 500 alone).
 MASSES = (200.0, 2.0)
 #: Bytes of text in a chunk and in a range: of small inputs, and at most.
-CHUNK_BYTES, MOST_CHUNK_BYTES, RANGE_BYTES = 8 << 20, 128 << 20, 24 << 20
+CHUNK_BYTES, MOST_CHUNK_BYTES, RANGE_BYTES = 8 << 20, 128 << 20, 12 << 20
 #: Hash of the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Hash of the starts before a text's first word.
-START = np.uint64(0x14057B7EF767814F)
+#: Hash of the starts before a text's first word: the last, so that n-grams in the order of their places are in that of hashes.
+START = np.uint64(2**64 - 1)
 ORDER, BITS = 3, 56
 
 
@@ -76,7 +76,7 @@ def grams_of(h: np.ndarray, begin: np.ndarray) -> Grams:
         before = np.empty(len(h), np.int64)
         before[1:] = out.of[-1][:-1]
         before[begin[:-1]] = above  # starts alone
-        both, first, of = np.unique(before * len(words) + out.of[0], return_index=True, return_inverse=True)
+        both, of = np.unique(before * len(words) + out.of[0], return_inverse=True)
         context, word = both // max(len(words), 1), both % max(len(words), 1)
         whole = K.mix(last[context] * np.uint64(0x9E3779B97F4A7C15) + words[word])
         out.context.append(context)
@@ -133,7 +133,7 @@ def _requests(table: pa.Table, ranges: int) -> pa.Table:
     keys, counts = [[] for _ in range(ranges)], [[] for _ in range(ranges)]
     for key, of in zip(grams.key, grams.of):
         n = np.bincount(of[train], minlength=len(key))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, n = key[order], n[order]
         cuts = _range_cuts(key, ranges)
         for r in range(ranges):
@@ -175,48 +175,53 @@ def _totals(grams: Grams, answers: pa.Table) -> list[np.ndarray]:
     blobs, out = answers.column("totals").to_pylist(), []
     for n, key in enumerate(grams.key):
         total = np.empty(len(key), np.int64)
-        total[np.argsort(key, kind="stable")] = np.concatenate([unpack_counts(b[n]) for b in blobs])
+        total[np.argsort(key)] = np.concatenate([unpack_counts(b[n]) for b in blobs])
         out.append(total)
     return out
 
 
+def _below(grams: Grams, n: int) -> np.ndarray:
+    """Of each n-gram of the order's place n, the place of that without its first word."""
+    if n == 1:
+        return grams.word[n]
+    out = np.empty(len(grams.key[n]), np.int64)
+    out[grams.of[n]] = grams.of[n - 1]
+    return out
+
+
 def _trie(folder: str, words: np.ndarray, grams: Grams, totals: list[np.ndarray], starts: int, p1: np.ndarray, masses: tuple[float, ...]) -> tuple[Trie, list[np.ndarray]]:
-    """The trie of the n-grams that occur in the corpus, and of each order but the last the log weights of falling back."""
-    # Words by hash, with the start at its place; `place` leads from the place among the n-grams to that in the trie's level.
-    seen = np.flatnonzero(totals[0])
-    level = np.append(words[seen], START)
-    order = np.argsort(level)
-    place = np.full(len(words) + 1, -1, np.int64)
-    place[np.append(seen, len(words))[order]] = np.arange(len(order))
-    id_of = place
-    logs = np.append(np.log10(p1[seen]), 0.0)[order]
-    counts = np.append(totals[0][seen], starts)[order]
-    levels, weights, lower = [], [], p1
+    """The trie of the n-grams that occur in the corpus, and of each order but the last the log weights of falling back.
+
+    Starts stand last at each level but that of the longest n-grams.
+    """
+
+    def placed(held: np.ndarray, n: int) -> np.ndarray:
+        """From the place among the n-grams, and behind them that of starts alone, to the place in the trie's level."""
+        out = np.full(n + 1, -1, np.int64)
+        out[held] = np.arange(len(held))
+        out[n] = len(held)
+        return out
+
+    held = np.flatnonzero(totals[0])
+    place = id_of = placed(held, len(words))
+    first, logs, counts = np.append(words[held], START), np.append(np.log10(p1[held]), 0.0), np.append(totals[0][held], starts)
+    levels, weights, p = [], [], p1
     for n in range(1, ORDER):
-        mass = masses[n - 1]
-        weights.append(np.log10(mass / (counts + mass)))
-        held = np.flatnonzero(totals[n])
-        context, word = grams.context[n][held], grams.word[n][held]
+        weights.append(np.log10(masses[n - 1] / (counts + masses[n - 1])))
         above = np.append(totals[n - 1], starts)[grams.context[n]]
-        if n > 1:  # the n-gram without its first word
-            below = np.empty(len(grams.key[n]), np.int64)
-            below[grams.of[n]] = grams.of[n - 1]
-            lower = lower[below]
-        else:
-            lower = lower[grams.word[n]]
-        p = (totals[n] + mass * lower) / (above + mass)
-        at, ids = place[context], id_of[word]
-        logs_n, counts = np.log10(p[held]), totals[n][held]
-        if n + 1 < ORDER:  # starts alone are a context of the next order
-            at, ids = np.append(at, id_of[len(words)] if n == 1 else at[-1:]), np.append(ids, id_of[len(words)])
-            logs_n, counts = np.append(logs_n, 0.0), np.append(counts, starts)
-        order_n = np.lexsort((ids, at))
-        levels.append((at[order_n], ids[order_n], logs_n[order_n]))
-        place = np.full(len(grams.key[n]) + 1, -1, np.int64)
-        place[np.append(held, len(grams.key[n]))[order_n] if n + 1 < ORDER else held[order_n]] = np.arange(len(order_n))
-        counts = counts[order_n]
-        lower = p
-    return Trie(level[order], logs, levels, folder), weights
+        p = (totals[n] + masses[n - 1] * p[_below(grams, n)]) / (above + masses[n - 1])
+        held = np.flatnonzero(totals[n])
+        at, ids, own, counts = place[grams.context[n][held]], id_of[grams.word[n][held]], np.log10(p[held]), totals[n][held]
+        place = placed(held, len(grams.key[n]))
+        if n + 1 < ORDER:  # starts after starts are a context of the next order
+            at, ids, own, counts = np.append(at, _starts(levels, first)), np.append(ids, id_of[-1]), np.append(own, 0.0), np.append(counts, starts)
+        levels.append((at, ids, own))
+    return Trie(first, logs, levels, folder), weights
+
+
+def _starts(levels: list, first: np.ndarray) -> int:
+    """Where starts stand in the last level so far."""
+    return len(levels[-1][0]) - 1 if levels else len(first) - 1
 
 
 def _scores(docs: pa.Table, answers: pa.Table, added: float, masses: tuple[float, ...]) -> pa.Table:
@@ -242,13 +247,8 @@ def _scores(docs: pa.Table, answers: pa.Table, added: float, masses: tuple[float
         for k in range(1, ORDER):
             context = place[grams.context[k]]
             found = trie.child(k + 1, context, ids[grams.word[k]])
-            if k > 1:
-                below = np.empty(len(context), np.int64)
-                below[grams.of[k]] = grams.of[k - 1]
-            else:
-                below = grams.word[k]
-            fall = np.where(context >= 0, weights[k - 1][np.maximum(context, 0)], 0) + steps[below]
-            steps = np.where(found >= 0, trie.steps(k + 1, np.maximum(found, 0)), fall) if len(weights[k - 1]) else fall
+            fall = np.where(context >= 0, weights[k - 1][np.maximum(context, 0)], 0) + steps[_below(grams, k)]
+            steps = np.where(found >= 0, trie.steps(k + 1, np.maximum(found, 0)), fall)
             if k + 1 < ORDER:
                 place = np.append(found, trie.child(k + 1, ids[-1:], ids[-1:])[0])
         trie.close()
@@ -277,7 +277,7 @@ def score(docs: DataFrame, held_out: str = "pmod(crc, 10) = 0", added: float = A
     size = int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
     # Messages between chunks and ranges hold a kilobyte or so at 100 TB, so that their number doesn't matter yet.
     chunk_bytes = max(CHUNK_BYTES, min(MOST_CHUNK_BYTES, size // 4096))
-    chunks, ranges = max(16, -(-size // chunk_bytes)), max(12, -(-size // max(RANGE_BYTES, 2 * chunk_bytes)))
+    chunks, ranges = max(16, -(-size // chunk_bytes)), max(12, -(-size // max(RANGE_BYTES, chunk_bytes)))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),
