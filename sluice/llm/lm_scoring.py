@@ -8,8 +8,8 @@ Elias-Fano trie of memory-mapped levels, and scores its documents by successor s
 
 The model, which sums to one at each level (hierarchical Dirichlet smoothing): p(w) = (c(w) + a) / (N + a (V + 1)),
 p(w | v) = (c(v w) + m2 p(w)) / (c(v) + m2), p(w | u v) = (c(u v w) + m3 p(w | v)) / (c(u v) + m3). Two starts stand before
-a text's first word. N-grams of two and three words are told apart by 56 bits of a hash: at 10^13 different ones, one in
-7,000 shares another's counts.
+a text's first word. Among chunks n-grams are told apart by 52 bits of a hash: at 10^13 different ones, one in 450 shares
+another's counts.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ CHUNK_BYTES, MOST_CHUNK_BYTES, RANGE_BYTES = 8 << 20, 128 << 20, 12 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 #: Hash of the starts before a text's first word: the last, so that n-grams in the order of their places are in that of hashes.
 START = np.uint64(2**64 - 1)
-ORDER, BITS = 3, 56
+ORDER, BITS = 3, 52
 
 
 def tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,37 +87,55 @@ def grams_of(h: np.ndarray, begin: np.ndarray) -> Grams:
     return out
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in two bits each; those of 3 and more follow as bytes, and of these those of 255 and more in full."""
+    fours = np.zeros(-(-len(counts) // 4) * 4, np.uint8)
+    fours[: len(counts)] = np.minimum(counts, 3)
+    fours = fours.reshape(-1, 4)
+    more = counts[counts >= 3]
+    bits = fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6
+    return b"".join((len(counts).to_bytes(8, "little"), bits.tobytes(), np.minimum(more, 255).astype(np.uint8).tobytes(), more[more >= 255].astype("<i8").tobytes()))
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    wide = -(-n // 4)
+    fours = np.frombuffer(blob, np.uint8, wide, 8)
+    out = np.empty((wide, 4), np.int64)
+    for i in range(4):
+        out[:, i] = fours >> (2 * i) & 3
+    out = out.ravel()[:n]
+    large = np.flatnonzero(out == 3)
+    if len(large):
+        more = np.frombuffer(blob, np.uint8, len(large), 8 + wide).astype(np.int64)
+        more[more == 255] = np.frombuffer(blob, "<i8", offset=8 + wide + len(large))
+        out[large] = more
+    return out
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted keys as gaps of as many bytes as the widest needs."""
+    """Sorted keys as gaps: whole low bytes, so many that what is above them is mostly 0 to 2, and that as counts."""
     if not len(keys):
         return b""
     gaps = np.diff(keys)
-    width = max(1, -(-int(gaps.max()).bit_length() // 8)) if len(gaps) else 1
-    packed = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + packed.tobytes()
+    width = 8
+    while len(gaps) and width > 1 and float(gaps.mean()) < 1.5 * 256.0 ** (width - 1):
+        width -= 1
+    low = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    high = gaps >> np.uint64(8 * width) if width < 8 else np.zeros(len(gaps), np.uint64)
+    return bytes([width]) + len(gaps).to_bytes(8, "little") + keys[:1].astype("<u8").tobytes() + low.tobytes() + pack_counts(high.astype(np.int64))
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
-    width = blob[0]
-    packed = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(packed), 8), np.uint8)
-    gaps[:, :width] = packed
-    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 1), gaps.view("<u8").ravel()]), dtype=np.uint64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those of 255 and more follow in full."""
-    large = counts[counts >= 255]
-    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
-
-
-def unpack_counts(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    out = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] = np.frombuffer(blob, "<i8", offset=8 + n)
-    return out
+    width, n = blob[0], int.from_bytes(blob[1:9], "little")
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(blob, np.uint8, n * width, 17).reshape(n, width)
+    gaps = gaps.view("<u8").ravel()
+    if width < 8:
+        gaps += unpack_counts(blob[17 + n * width :]).astype(np.uint64) << np.uint64(8 * width)
+    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 9), gaps]), dtype=np.uint64)
 
 
 def _range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
