@@ -1,10 +1,11 @@
 """Language identification with interpolated Kneser-Ney character models in sorted hash arrays.
 
-Texts are lower-cased, and everything but letters becomes one blank. Each learned language has an interpolated Kneser-Ney
+Texts are lower-cased, and everything but letters, and the marks on them, becomes one blank. Each learned language has an interpolated Kneser-Ney
 model of character n-grams up to ORDER. For scoring, the n-grams of all languages share one sorted array of 64-bit hashes
 for each order, with a column of log probabilities for each language; a position takes the longest n-gram that any language
-has seen, with the back-off weights of the longer contexts. The language with the lowest cross-entropy a character wins. Its cross-entropy is compared with that of training
-texts set aside, at a similar length, to reject what looks like none of the languages.
+has seen, with the back-off weights of the longer contexts. The language with the lowest cross-entropy a character wins. To
+reject what looks like none of the languages, its cross-entropy is compared with that of texts set aside: those of the
+language itself, and those of the others, which show how texts look to the model that aren't of its language.
 
 The models are fitted on whole texts of each language in the order of a hash, until they have `sample_chars` characters and
 LEAST_TEXTS texts: a documented bound that holds at any corpus size, and leaves out no language.
@@ -12,9 +13,11 @@ LEAST_TEXTS texts: a documented bound that holds at any corpus size, and leaves
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,15 @@ UNKNOWN = "und"
 BLANK = 0x20
 #: Places of texts in the order in which they are sampled.
 PLACES = 1 << 62
-#: Standard deviations, and nats, beyond which a cross-entropy is rejected.
-REJECT_SIGMAS, REJECT_NATS = 8.0, 1.0
+#: A text is rejected that is REJECT_SHARE of the way from its language's mean to that of other languages' texts, but not within
+#: REJECT_SIGMAS deviations; with one language learned, REJECT_NATS stand for the way. NOISE_SIGMAS allow for short texts.
+REJECT_SHARE, REJECT_SIGMAS, REJECT_NATS, NOISE_SIGMAS = 0.6, 8.0, 1.5, 2.0
+
+
+@lru_cache(maxsize=1)
+def _marks() -> np.ndarray:
+    """Whether each code point is a combining mark."""
+    return np.fromiter((unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)), bool, 0x110000)
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +57,11 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     points = np.frombuffer(" ".join(["", *texts]).encode("utf-32-le"), np.uint32)
     begin = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
-    points = np.where(kinds[points] == tokens.LETTER, points, BLANK).astype(np.uint32)
+    letter, mark = kinds[points] == tokens.LETTER, _marks()[points]
+    if mark.any():  # marks go with the letter before them
+        last = np.maximum.accumulate(np.where(mark, 0, np.arange(len(points))))
+        letter |= mark & letter[last]
+    points = np.where(letter, points, BLANK).astype(np.uint32)
     keep = points != BLANK
     keep[1:] |= points[:-1] != BLANK
     keep[begin[:-1]] = True
@@ -112,6 +126,7 @@ class Model:
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
     noise: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    way: float = 0.0  # from a language's mean to that of texts of others
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a character of each text under each language, and the numbers of characters scored."""
@@ -143,8 +158,8 @@ class Model:
         return -sums / np.maximum(size, 1)[:, None], size
 
     def rejects(self, entropy: np.ndarray, best: np.ndarray, size: np.ndarray) -> np.ndarray:
-        limit = self.mean[best] + REJECT_NATS + REJECT_SIGMAS * np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / np.maximum(size, 1))
-        return entropy > limit
+        least = np.maximum(REJECT_SHARE * self.way, REJECT_SIGMAS * self.spread[best])
+        return entropy > self.mean[best] + least + NOISE_SIGMAS * self.noise[best] / np.sqrt(np.maximum(size, 1))
 
 
 def _kneser_ney(counts: list[Counter], order: int) -> list[dict]:
@@ -226,17 +241,26 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 
 
 def _calibrate(model: Model, texts: dict[str, list[str]]) -> None:
-    """Mean of the cross-entropy, its spread between long texts, and the noise of a single character."""
-    model.mean, model.spread, model.noise = (np.zeros(len(model.languages)) for _ in range(3))
+    """Mean of the cross-entropy, its spread between long texts, the noise of a single character, and how far beyond the mean
+    texts of a language are under the nearest other: the median over the languages."""
+    n = len(model.languages)
+    model.mean, model.spread, model.noise = (np.zeros(n) for _ in range(3))
+    means = np.full((n, n), np.nan)  # of texts of the first under the model of the second
     for i, language in enumerate(model.languages):
         entropy, size = model.entropies(*K.utf8(pa.array(texts[language], pa.string())))
-        own, size = entropy[size > 0, i], size[size > 0]
-        if not len(own):
+        entropy, size = entropy[size > 0], size[size > 0]
+        if not len(size):
             continue
-        model.mean[i] = np.average(own, weights=size)
-        beyond = own - model.mean[i]
+        means[i] = np.average(entropy, axis=0, weights=size)
+        model.mean[i] = means[i, i]
+        beyond = entropy[:, i] - model.mean[i]
         model.spread[i] = np.sqrt(np.average(beyond**2, weights=size))
         model.noise[i] = np.sqrt(np.mean(beyond**2 * size))
+    # What a language that isn't learned looks like: each one's texts under the nearest model of another.
+    beyond = means - model.mean
+    np.fill_diagonal(beyond, np.nan)
+    nearest = [row[~np.isnan(row)].min() for row in beyond if not np.isnan(row).all()]
+    model.way = float(np.median(nearest)) if nearest else REJECT_NATS / REJECT_SHARE
 
 
 def fit(docs: DataFrame, training: str = "pmod(crc, 4) != 2", sample_chars: int = SAMPLE_CHARS, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:

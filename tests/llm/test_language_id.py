@@ -121,3 +121,20 @@ def test_languages_of_few_long_texts_are_learned(spark, monkeypatch):
     assert model.languages == sorted(SYLLABLES)
     assert len(seen["bb"]) == L.LEAST_TEXTS
     assert all(sum(map(len, own[:-1])) < 2_000 <= sum(map(len, own)) for own in (seen["aa"], seen["cc"]))
+
+
+def test_an_unlearned_language_in_the_same_script_is_rejected(spark):
+    held = [(i, t, lang) for i, t, lang in corpus() if len(t) > 60]
+    for left_out in sorted(SYLLABLES):
+        docs = spark.createDataFrame([(i, t, lang if lang != left_out else None) for i, t, lang in held], "doc_id long, text string, lang string")
+        got = {r.doc_id: r.rejected for r in L.predict(docs, L.fit(docs)).collect()}
+        own = [got[i] for i, _, lang in held if lang == left_out]
+        assert np.mean(own) > 0.9
+        assert np.mean([got[i] for i, _, lang in held if lang != left_out]) < 0.01
+
+
+def test_marks_stay_with_their_letters():
+    probes = ["Ka\u0301 b", "हिन्दी में", "\u0301\u0301 12", "a \u0301b"]
+    points, begin = L.normalised(*K.utf8(pa.array(probes)))
+    texts = ["".join(map(chr, points[a:b])) for a, b in zip(begin[:-1], begin[1:])]
+    assert texts == [" ka\u0301 b", " हिन्दी में", " ", " a b"]
