@@ -88,7 +88,34 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s
+            FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0
+        ), sizes AS (SELECT DISTINCT n FROM win),
+        dwin AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, sizes, unnest(range(1, greatest(len(w) - n + 2, 1))) t(i)),
+        hit AS (SELECT r, i, n, item_id FROM dwin JOIN win USING (n, s)),
+        covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(n)) t(k) GROUP BY r),
+        named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+    "op10_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        g AS (SELECT DISTINCT r, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0),
+        sizes AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+        both_ AS (SELECT x.r AS a, y.r AS b, count(*) AS n FROM g x JOIN g y ON x.s = y.s AND x.r <> y.r GROUP BY x.r, y.r),
+        link AS (SELECT a, b FROM both_ JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE both_.n >= 0.8 * (x.n + y.n - both_.n)),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+        class AS (SELECT reach.a AS r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a),
+        links AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY a)
+        SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM d JOIN class USING (r) LEFT JOIN links USING (r)""",
     "op6_exact_top_k": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
