@@ -15,6 +15,8 @@ import numpy as np
 
 #: Log10 probabilities are kept in steps of 1/STEPS, as unsigned 16-bit numbers.
 STEPS = 1024
+#: Numbers coded at a time, which bounds the work space.
+AT_ONCE = 1 << 17
 
 
 def _mapped(values: np.ndarray, folder: str, name: str) -> np.ndarray:
@@ -32,20 +34,22 @@ class EliasFano:
         top = int(values[-1]) if self.n else 0
         self.bits = max(0, ((top + 1) // max(self.n, 1)).bit_length() - 1)
         width = np.uint64(self.bits)
-        high = (values >> width).astype(np.int64) + np.arange(self.n)
         self.highs = (top >> self.bits) + 1  # number of different high parts
         upper = np.zeros(self.n + self.highs + 1, np.uint8)
-        upper[high] = 1
-        self.upper = _mapped(np.packbits(upper), folder, name + ".upper")
         # Low bits, packed into 64-bit words; a number may span two.
         words = np.zeros(self.n * self.bits // 64 + 2, np.uint64)
-        if self.bits and self.n:
-            low = values & np.uint64((1 << self.bits) - 1)
-            at = np.arange(self.n, dtype=np.uint64) * width
-            word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            np.bitwise_or.at(words, word, low << shift)
-            over = shift + width > 64
-            np.bitwise_or.at(words, word[over] + 1, low[over] >> (np.uint64(64) - shift[over]))
+        for a in range(0, self.n, AT_ONCE):
+            part = values[a : a + AT_ONCE]
+            upper[(part >> width).astype(np.int64) + np.arange(a, a + len(part))] = 1
+            if self.bits:
+                low = part & np.uint64((1 << self.bits) - 1)
+                at = np.arange(a, a + len(part), dtype=np.uint64) * width
+                word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+                np.bitwise_or.at(words, word, low << shift)
+                over = shift + width > 64
+                np.bitwise_or.at(words, word[over] + 1, low[over] >> (np.uint64(64) - shift[over]))
+        self.upper = _mapped(np.packbits(upper), folder, name + ".upper")
+        del upper
         self.words = _mapped(words, folder, name + ".low")
         self._select()
 

@@ -36,6 +36,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: Hash of the starts before a text's first word: the last, so that n-grams in the order of their places are in that of hashes.
 START = np.uint64(2**64 - 1)
 ORDER, BITS = 3, 52
+#: N-grams looked up at a time, which bounds the work space.
+LOOKUPS = 1 << 17
 
 
 def tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +71,22 @@ class Grams:
 
 def grams_of(h: np.ndarray, begin: np.ndarray) -> Grams:
     words, of = np.unique(h, return_inverse=True)
-    out = Grams([np.zeros(len(words), np.int64)], [np.arange(len(words))], [words >> np.uint64(64 - BITS)], [of])
+    of = of.astype(np.int32)
+    out = Grams([np.zeros(len(words), np.int32)], [np.arange(len(words), dtype=np.int32)], [words >> np.uint64(64 - BITS)], [of])
     whole, last = words, np.append(words, START)
     for n in range(2, ORDER + 1):
-        above = len(last) - 1
-        before = np.empty(len(h), np.int64)
-        before[1:] = out.of[-1][:-1]
-        before[begin[:-1]] = above  # starts alone
-        both, of = np.unique(before * len(words) + out.of[0], return_inverse=True)
-        context, word = both // max(len(words), 1), both % max(len(words), 1)
+        both = np.empty(len(h), np.int64)
+        both[1:] = out.of[-1][:-1]
+        both[begin[:-1]] = len(last) - 1  # starts alone
+        both *= len(words)
+        both += out.of[0]
+        both, of = np.unique(both, return_inverse=True)
+        context, word = (x.astype(np.int32) for x in np.divmod(both, max(len(words), 1)))
         whole = K.mix(last[context] * np.uint64(0x9E3779B97F4A7C15) + words[word])
         out.context.append(context)
         out.word.append(word)
         out.key.append(whole >> np.uint64(64 - BITS))
-        out.of.append(of)
+        out.of.append(of.astype(np.int32))
         last = np.append(whole, START)
     return out
 
@@ -202,7 +206,7 @@ def _below(grams: Grams, n: int) -> np.ndarray:
     """Of each n-gram of the order's place n, the place of that without its first word."""
     if n == 1:
         return grams.word[n]
-    out = np.empty(len(grams.key[n]), np.int64)
+    out = np.empty(len(grams.key[n]), np.int32)
     out[grams.of[n]] = grams.of[n - 1]
     return out
 
@@ -215,7 +219,7 @@ def _trie(folder: str, words: np.ndarray, grams: Grams, totals: list[np.ndarray]
 
     def placed(held: np.ndarray, n: int) -> np.ndarray:
         """From the place among the n-grams, and behind them that of starts alone, to the place in the trie's level."""
-        out = np.full(n + 1, -1, np.int64)
+        out = np.full(n + 1, -1, np.int32)
         out[held] = np.arange(len(held))
         out[n] = len(held)
         return out
@@ -251,24 +255,30 @@ def _scores(docs: pa.Table, answers: pa.Table, added: float, masses: tuple[float
     totals = _totals(grams, answers)
     words = np.zeros(len(grams.key[0]), np.uint64)
     words[grams.of[0]] = h
+    del h
     p1 = (totals[0] + added) / (n + added * (v + 1))
     base = np.log10(p1)
     starts = int(totals[0][words == END].sum())
     with tempfile.TemporaryDirectory(prefix="trie-") as folder:
         trie, weights = _trie(folder, words, grams, totals, starts, p1, masses)
-        weights = [quantised(w).astype(np.int64) for w in weights]
+        weights = [quantised(w) for w in weights]
         # Level by level from what has been found above: steps of the log of each n-gram, and its place, or -1.
         ids = np.append(trie.word_ids(words), trie.word_ids(np.array([START]))[0])
         unseen = int(quantised(np.log10(np.array([added / (n + added * (v + 1))])))[0])
-        steps = np.where(ids >= 0, trie.steps(1, np.maximum(ids, 0)), unseen)[:-1]
+        steps = np.where(ids >= 0, trie.steps(1, np.maximum(ids, 0)), unseen)[:-1].astype(np.int32)
         place = ids
         for k in range(1, ORDER):
-            context = place[grams.context[k]]
-            found = trie.child(k + 1, context, ids[grams.word[k]])
-            fall = np.where(context >= 0, weights[k - 1][np.maximum(context, 0)], 0) + steps[_below(grams, k)]
-            steps = np.where(found >= 0, trie.steps(k + 1, np.maximum(found, 0)), fall)
+            below, upper = _below(grams, k), steps
+            found, steps = np.empty(len(below) + 1, np.int32), np.empty(len(below), np.int32)
+            for a in range(0, len(below), LOOKUPS):
+                part = slice(a, min(a + LOOKUPS, len(below)))
+                context = place[grams.context[k][part]]
+                found[part] = at = trie.child(k + 1, context, ids[grams.word[k][part]])
+                fall = np.where(context >= 0, weights[k - 1][np.maximum(context, 0)], 0) + upper[below[part]]
+                steps[part] = np.where(at >= 0, trie.steps(k + 1, np.maximum(at, 0)), fall)
             if k + 1 < ORDER:
-                place = np.append(found, trie.child(k + 1, ids[-1:], ids[-1:])[0])
+                found[-1] = trie.child(k + 1, ids[-1:], ids[-1:])[0]
+            place = found
         trie.close()
     first = begin[:-1]
     return pa.table(
@@ -279,7 +289,7 @@ def _scores(docs: pa.Table, answers: pa.Table, added: float, masses: tuple[float
             "n_known": pa.array(np.add.reduceat((totals[0] > 0)[grams.of[0]].astype(np.int64), first), pa.int64()),
             "train_tokens": pa.array(np.full(len(first), n), pa.int64()),
             "base_score": pa.array(np.add.reduceat(base[grams.of[0]], first), pa.float64()),
-            "score": pa.array(np.add.reduceat(steps[grams.of[-1]], first) / -STEPS, pa.float64()),
+            "score": pa.array(np.add.reduceat(steps[grams.of[-1]].astype(np.int64), first) / -STEPS, pa.float64()),
         }
     )
 
