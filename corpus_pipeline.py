@@ -1,7 +1,8 @@
 """A corpus in five stages: language, near copies, benchmark passages, personal data, sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents; n_chars follows the text where a stage changes it.
+stage's docs. All but the last return the columns of documents; n_chars follows the text where a stage changes it. Tables
+may be empty, and hold further columns, which are left behind; null ids, languages and sources are carried as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that look like one of the languages of the corpus."""
+    """Documents that look like one of the languages of the corpus. Texts that are null or without letters go, and all texts
+    if no row has a language. Repeated rows are treated alike."""
     out = language_id.predict(docs, language_id.fit(docs), carried=tuple(COLUMNS[1:]))
     return out.where(~F.col("rejected")).select(*COLUMNS)
 
@@ -39,18 +41,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark; those mostly made of them go."""
+    """Documents without passages of the benchmark; those mostly made of them go. Null and empty texts stay, and everything
+    if there are no items."""
     out = decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"), most_coverage=MOST_COVERAGE, carried=tuple(COLUMNS[2:]))
     return _measured(out.where(~F.col("dropped")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind. A null text becomes an empty one. Repeated rows stay repeated."""
     return _measured(pii.redact(docs, carried=tuple(COLUMNS[2:])))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens. A null or empty text is its end alone."""
     return packing.pack(packing.pieces(docs, catalog.tokenizer_path()))
 
 
