@@ -5,7 +5,8 @@ model of character n-grams up to ORDER. For scoring, the n-grams of all language
 for each order, with a column of log probabilities for each language; a position takes the longest n-gram that any language
 has seen, with the back-off weights of the longer contexts. The language with the lowest cross-entropy a character wins. To
 reject what looks like none of the languages, its cross-entropy is compared with that of texts set aside: those of the
-language itself, and those of the others, which show how texts look to the model that aren't of its language.
+language itself, and those of the others, which show how texts look that aren't of any language learned. For that each word
+also counts under the language that suits it best, so that a text of several learned languages isn't rejected.
 
 The models are fitted on whole texts of each language in the order of a hash, until they have `sample_chars` characters and
 LEAST_TEXTS texts: a documented bound that holds at any corpus size, and leaves out no language.
@@ -35,9 +36,10 @@ UNKNOWN = "und"
 BLANK = 0x20
 #: Places of texts in the order in which they are sampled.
 PLACES = 1 << 62
-#: A text is rejected that is REJECT_SHARE of the way from its language's mean to that of other languages' texts, but not within
-#: REJECT_SIGMAS deviations; with one language learned, REJECT_NATS stand for the way. NOISE_SIGMAS allow for short texts.
-REJECT_SHARE, REJECT_SIGMAS, REJECT_NATS, NOISE_SIGMAS = 0.6, 8.0, 1.5, 2.0
+#: A text is rejected that is REJECT_SHARE of the way from its language's mean to a language that isn't learned, and WORDED_SHARE
+#: with each word under the language that suits it best, but not within REJECT_SIGMAS deviations. With one language learned,
+#: REJECT_NATS are what counts. NOISE_SIGMAS allow for short texts.
+REJECT_SHARE, WORDED_SHARE, REJECT_SIGMAS, REJECT_NATS, NOISE_SIGMAS = 0.6, 0.4, 8.0, 1.5, 3.0
 
 
 @lru_cache(maxsize=1)
@@ -118,22 +120,40 @@ class Level:
         return out
 
 
+@dataclass
+class Limit:
+    """What texts set aside tell of cross-entropies: by language the mean, the spread between long texts, and the noise of a
+    single character; and the way from the mean to texts of a language that isn't learned."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+    noise: np.ndarray
+    way: float
+
+    def beyond(self, entropy: np.ndarray, best: np.ndarray, size: np.ndarray, share: float) -> np.ndarray:
+        least = np.maximum(share * self.way, REJECT_SIGMAS * self.spread[best])
+        return entropy > self.mean[best] + least + NOISE_SIGMAS * self.noise[best] / np.sqrt(np.maximum(size, 1))
+
+
 @dataclass
 class Model:
     languages: list[str]
     levels: list[Level]  # by order, 1 first
     floor: np.ndarray  # log probability of an unseen character
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    noise: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    way: float = 0.0  # from a language's mean to that of texts of others
+    #: For the cross-entropy under the winner, and for that with each word under the language that suits it best.
+    whole: "Limit | None" = None
+    worded: "Limit | None" = None
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a character of each text under each language, and the numbers of characters scored."""
+        return self.measured(data, offsets)[:2]
+
+    def measured(self, data: np.ndarray, offsets: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """entropies(), and the cross-entropy with each word under the language that suits it best (`without` one of them)."""
         points, begin = normalised(data, offsets)
         size = np.maximum(np.diff(begin) - 1, 0)
         if not len(self.languages) or not len(points):
-            return np.zeros((len(size), len(self.languages))), size
+            return np.zeros((len(size), len(self.languages))), size, np.zeros(len(size))
         own = np.zeros(len(points), np.int64)
         own[begin[:-1]] = begin[:-1]
         place = np.arange(len(points)) - np.maximum.accumulate(own)  # within the text
@@ -154,12 +174,16 @@ class Model:
                 todo = np.concatenate([todo[~deep], missed])
         logs[missed] += self.floor
         logs[begin[:-1]] = 0
-        sums = np.add.reduceat(logs.astype(np.float64), begin[:-1], axis=0)
-        return -sums / np.maximum(size, 1)[:, None], size
+        blanks = np.flatnonzero(points == BLANK)  # a blank begins each text, and each word
+        words = np.add.reduceat(logs.astype(np.float64), blanks, axis=0)
+        first = np.searchsorted(blanks, begin[:-1])
+        best = (words if without is None else np.delete(words, without, axis=1)).max(axis=1, initial=-np.inf)
+        sums, mixed = np.add.reduceat(words, first, axis=0), np.add.reduceat(best, first)
+        return -sums / np.maximum(size, 1)[:, None], size, -mixed / np.maximum(size, 1)
 
-    def rejects(self, entropy: np.ndarray, best: np.ndarray, size: np.ndarray) -> np.ndarray:
-        least = np.maximum(REJECT_SHARE * self.way, REJECT_SIGMAS * self.spread[best])
-        return entropy > self.mean[best] + least + NOISE_SIGMAS * self.noise[best] / np.sqrt(np.maximum(size, 1))
+    def rejects(self, entropy: np.ndarray, worded: np.ndarray, best: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether a text looks like none of the languages, and like no mixture of them either."""
+        return self.whole.beyond(entropy, best, size, REJECT_SHARE) & self.worded.beyond(worded, best, size, WORDED_SHARE)
 
 
 def _kneser_ney(counts: list[Counter], order: int) -> list[dict]:
@@ -241,26 +265,30 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 
 
 def _calibrate(model: Model, texts: dict[str, list[str]]) -> None:
-    """Mean of the cross-entropy, its spread between long texts, the noise of a single character, and how far beyond the mean
-    texts of a language are under the nearest other: the median over the languages."""
+    """Limits from texts set aside. How a language looks that isn't learned is shown by each one's texts with itself left out:
+    how far they are beyond the mean of the nearest other, in the median of the texts and of the languages."""
     n = len(model.languages)
-    model.mean, model.spread, model.noise = (np.zeros(n) for _ in range(3))
-    means = np.full((n, n), np.nan)  # of texts of the first under the model of the second
-    for i, language in enumerate(model.languages):
-        entropy, size = model.entropies(*K.utf8(pa.array(texts[language], pa.string())))
-        entropy, size = entropy[size > 0], size[size > 0]
-        if not len(size):
-            continue
-        means[i] = np.average(entropy, axis=0, weights=size)
-        model.mean[i] = means[i, i]
-        beyond = entropy[:, i] - model.mean[i]
-        model.spread[i] = np.sqrt(np.average(beyond**2, weights=size))
-        model.noise[i] = np.sqrt(np.mean(beyond**2 * size))
-    # What a language that isn't learned looks like: each one's texts under the nearest model of another.
-    beyond = means - model.mean
-    np.fill_diagonal(beyond, np.nan)
-    nearest = [row[~np.isnan(row)].min() for row in beyond if not np.isnan(row).all()]
-    model.way = float(np.median(nearest)) if nearest else REJECT_NATS / REJECT_SHARE
+    held = [K.utf8(pa.array(texts[language], pa.string())) for language in model.languages]
+    known = [model.measured(*h) for h in held]
+    without = [model.measured(*h, without=i) for i, h in enumerate(held)]
+    limits = []
+    for worded in (False, True):
+        limit = Limit(np.zeros(n), np.zeros(n), np.zeros(n), REJECT_NATS / REJECT_SHARE)
+        for i, (entropy, size, mixed) in enumerate(known):
+            own, size = (mixed if worded else entropy[:, i])[size > 0], size[size > 0]
+            if len(size):
+                limit.mean[i] = np.average(own, weights=size)
+                limit.spread[i] = np.sqrt(np.average((own - limit.mean[i]) ** 2, weights=size))
+                limit.noise[i] = np.sqrt(np.mean((own - limit.mean[i]) ** 2 * size))
+        ways = []
+        for i, (entropy, size, mixed) in enumerate(without if n > 1 else []):
+            others = np.where(np.arange(n) == i, np.inf, entropy)[size > 0]
+            if len(others):
+                nearest = others.argmin(axis=1)
+                ways.append(np.median((mixed[size > 0] if worded else others.min(axis=1)) - limit.mean[nearest]))
+        limit.way = float(np.median(ways)) if ways else limit.way
+        limits.append(limit)
+    model.whole, model.worded = limits
 
 
 def fit(docs: DataFrame, training: str = "pmod(crc, 4) != 2", sample_chars: int = SAMPLE_CHARS, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -313,13 +341,13 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         for batch in batches:
             data, offsets = K.utf8(batch.column("_text"))
             for a, b in K.blocks(offsets, K.BLOCK // 2):
-                entropy, size = model.entropies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                entropy, size, worded = model.measured(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 known = (size > 0) & (len(model.languages) > 0)
                 if len(model.languages):
                     best = entropy.argmin(axis=1)
                     least = entropy[np.arange(len(best)), best]
                     score = 1 / np.exp(-10 * (entropy - least[:, None])).sum(axis=1)
-                    names, rejected = np.array(model.languages, object)[best], model.rejects(least, best, size)
+                    names, rejected = np.array(model.languages, object)[best], model.rejects(least, worded, best, size)
                 else:
                     names, score, least, rejected = np.full(len(size), UNKNOWN, object), np.zeros(len(size)), np.zeros(len(size)), np.ones(len(size), bool)
                 columns = {c: batch.column(c).slice(a, b - a) for c in ("doc_id", *carried)} | {

@@ -138,3 +138,12 @@ def test_marks_stay_with_their_letters():
     points, begin = L.normalised(*K.utf8(pa.array(probes)))
     texts = ["".join(map(chr, points[a:b])) for a, b in zip(begin[:-1], begin[1:])]
     assert texts == [" ka\u0301 b", " हिन्दी में", " ", " a b"]
+
+
+def test_a_text_of_two_learned_languages_is_kept(spark):
+    rows = [(i, t, lang) for i, t, lang in corpus() if len(t) > 60]
+    rng = random.Random(12)
+    mixed = [(5000 + i, " ".join(speech(rng, lang, 40) for lang in ("aa", "bb", "cc")), None) for i in range(20)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected for r in L.predict(docs, L.fit(docs)).collect()}
+    assert not any(got[i] for i, *_ in mixed)
