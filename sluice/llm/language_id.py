@@ -37,9 +37,9 @@ BLANK = 0x20
 #: Places of texts in the order in which they are sampled.
 PLACES = 1 << 62
 #: A text is rejected that is REJECT_SHARE of the way from its language's mean to a language that isn't learned, and WORDED_SHARE
-#: with each word under the language that suits it best, but not within REJECT_SIGMAS deviations. With one language learned,
-#: REJECT_NATS are what counts. NOISE_SIGMAS allow for short texts.
-REJECT_SHARE, WORDED_SHARE, REJECT_SIGMAS, REJECT_NATS, NOISE_SIGMAS = 0.6, 0.4, 8.0, 1.5, 3.0
+#: with each word under the language that suits it best, but not within REJECT_SIGMAS deviations or LEAST_NATS. With one
+#: language learned, REJECT_NATS are what counts. NOISE_SIGMAS allow for short texts.
+REJECT_SHARE, WORDED_SHARE, REJECT_SIGMAS, REJECT_NATS, LEAST_NATS, NOISE_SIGMAS = 0.6, 0.4, 8.0, 1.5, 1.0, 3.0
 
 
 @lru_cache(maxsize=1)
@@ -131,7 +131,7 @@ class Limit:
     way: float
 
     def beyond(self, entropy: np.ndarray, best: np.ndarray, size: np.ndarray, share: float) -> np.ndarray:
-        least = np.maximum(share * self.way, REJECT_SIGMAS * self.spread[best])
+        least = np.maximum(share * self.way, np.maximum(LEAST_NATS, REJECT_SIGMAS * self.spread[best]))
         return entropy > self.mean[best] + least + NOISE_SIGMAS * self.noise[best] / np.sqrt(np.maximum(size, 1))
 
 
@@ -171,7 +171,7 @@ class Model:
             if n > 1 and len(missed):
                 context = self.levels[n - 2].find(grams[n - 2][missed - 1])
                 logs[missed[context >= 0]] += self.levels[n - 2].backs[context[context >= 0]]
-                todo = np.concatenate([todo[~deep], missed])
+            todo = np.concatenate([todo[~deep], missed])
         logs[missed] += self.floor
         logs[begin[:-1]] = 0
         blanks = np.flatnonzero(points == BLANK)  # a blank begins each text, and each word

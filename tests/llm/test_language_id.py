@@ -147,3 +147,14 @@ def test_a_text_of_two_learned_languages_is_kept(spark):
     docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
     got = {r.doc_id: r.rejected for r in L.predict(docs, L.fit(docs)).collect()}
     assert not any(got[i] for i, *_ in mixed)
+
+
+def test_a_text_whose_grams_are_all_known_counts_once():
+    """Without any miss at an order, no lower order is added."""
+    texts = {lang: [speech(random.Random(3), lang, 50)] * 3 for lang in ("aa", "bb")}
+    model = L.train(texts, order=3)
+    (entropy,), _ = model.entropies(*K.utf8(pa.array(texts["aa"][:1])))
+    p, _ = brute_probability(texts["aa"], 3)
+    chars = "".join(map(chr, L.normalised(*K.utf8(pa.array(texts["aa"][:1])))[0]))
+    want = -sum(math.log(p(chars[max(0, k - 2) : k], chars[k])) for k in range(1, len(chars))) / (len(chars) - 1)
+    assert abs(entropy[0] - want) < 1e-4
