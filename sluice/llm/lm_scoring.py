@@ -9,7 +9,7 @@ Elias-Fano trie of memory-mapped levels, and scores its documents by successor s
 The model, which sums to one at each level (hierarchical Dirichlet smoothing): p(w) = (c(w) + a) / (N + a (V + 1)),
 p(w | v) = (c(v w) + m2 p(w)) / (c(v) + m2), p(w | u v) = (c(u v w) + m3 p(w | v)) / (c(u v) + m3). Two starts stand before
 a text's first word. Among chunks n-grams are told apart by 52 bits of a hash: at 10^13 different ones, one in 450 shares
-another's counts.
+another's counts, but none counts more often than its context or what follows its first word, so that the trie holds both.
 """
 
 from __future__ import annotations
@@ -211,6 +211,15 @@ def _below(grams: Grams, n: int) -> np.ndarray:
     return out
 
 
+def _bounded(grams: Grams, totals: list[np.ndarray], starts: int) -> list[np.ndarray]:
+    """The totals, none above that of its context or of the n-gram without its first word, as they are but for shared hashes."""
+    out = totals[:1]
+    for n in range(1, ORDER):
+        above = np.append(out[n - 1], starts)[grams.context[n]]
+        out.append(np.minimum(totals[n], np.minimum(above, out[n - 1][_below(grams, n)])))
+    return out
+
+
 def _trie(folder: str, words: np.ndarray, grams: Grams, totals: list[np.ndarray], starts: int, p1: np.ndarray, masses: tuple[float, ...]) -> tuple[Trie, list[np.ndarray]]:
     """The trie of the n-grams that occur in the corpus, and of each order but the last the log weights of falling back.
 
@@ -259,6 +268,7 @@ def _scores(docs: pa.Table, answers: pa.Table, added: float, masses: tuple[float
     p1 = (totals[0] + added) / (n + added * (v + 1))
     base = np.log10(p1)
     starts = int(totals[0][words == END].sum())
+    totals = _bounded(grams, totals, starts)
     with tempfile.TemporaryDirectory(prefix="trie-") as folder:
         trie, weights = _trie(folder, words, grams, totals, starts, p1, masses)
         weights = [quantised(w) for w in weights]

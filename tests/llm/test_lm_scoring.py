@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,3 +115,41 @@ def test_ranges_cover_all_hashes(ranges):
     keys = np.sort(np.random.default_rng(1).integers(0, 2**S.BITS - 1, 100, dtype=np.uint64))
     cuts = S._range_cuts(keys, ranges)
     assert (np.diff(cuts) >= 0).all() and cuts[0] == 0 and cuts[-1] == 100 and len(cuts) == ranges + 1
+
+
+def test_an_unseen_ngram_with_the_hash_of_a_seen_one():
+    """Some five stand under unseen contexts at 6 GB, by the counts of 0.1 GB, and hardly any at 0.5 GB."""
+    rows = [*corpus()[:-1], (1000, "new1 new2 new3 the new1 of")]
+    train = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0 and i != 1000 for i, _ in rows]
+    docs = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows], "train": train, "chunk": pa.array([0] * len(rows), pa.int32())})
+    answers = S._answers(S._requests(docs, 1))
+    want = S._scores(docs, answers, S.ADDED, S.MASSES)
+    grams = S.grams_of(*S.tokens_of(docs.column("text")))
+    totals = S._totals(grams, answers)
+    shared = 0
+    for n in range(1, S.ORDER):
+        lost = (np.append(totals[n - 1], 1)[grams.context[n]] == 0) | (totals[0][grams.word[n]] == 0)
+        shared += int(lost.sum())
+        totals[n][lost] = 3
+    assert shared >= 8
+    blobs = [S.pack_counts(t[np.argsort(k)]) for t, k in zip(totals, grams.key)]
+    answers = answers.set_column(answers.schema.get_field_index("totals"), "totals", pa.array([blobs], pa.list_(pa.binary())))
+    assert S._scores(docs, answers, S.ADDED, S.MASSES).equals(want)
+
+
+@pytest.mark.parametrize("bits", [16, 20, 24])
+def test_many_shared_hashes_lose_no_row(monkeypatch, bits):
+    """With so few bits n-grams share counts as they do in large corpora; each row still gets a score, no probability is above one."""
+    rng = random.Random(bits)
+    texts = [" ".join(str(rng.randrange(2000)) for _ in range(60)) for _ in range(400)]
+    docs = pa.table({"doc_id": range(400), "text": texts, "train": [i % 5 > 0 for i in range(400)], "chunk": pa.array([0] * 400, pa.int32())})
+    monkeypatch.setattr(S, "BITS", bits)
+    asked = S._requests(docs, 3)
+    answers = pa.concat_tables([S._answers(asked.slice(r, 1)) for r in range(3)])
+    out = S._scores(docs, answers, S.ADDED, S.MASSES)
+    assert out.column("doc_id").to_pylist() == list(range(400))
+    grams = S.grams_of(*S.tokens_of(docs.column("text")))
+    totals = S._bounded(grams, S._totals(grams, answers.sort_by("part")), 320)
+    for n in range(1, S.ORDER):
+        assert (totals[n] <= np.append(totals[n - 1], 320)[grams.context[n]]).all()
+        assert (totals[n] <= totals[n - 1][S._below(grams, n)]).all()
