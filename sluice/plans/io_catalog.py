@@ -110,12 +110,14 @@ def url_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jdbc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a database's SELECT, read by four tasks; the database is embedded, and in the driver's own process."""
-    url, name = "jdbc:derby:memory:sluice;create=true", "T" + shared_path(spark, "t")[-16:].upper()
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("K"), F.col("s_acctbal").cast("double").alias("B"))
-    supplier.write.format("jdbc").option("url", url).option("dbtable", name).save()
-    rows_ = readers.read_jdbc(spark, url, f"select * from {name} where B > 0", ("K", 0, 1000, 4))
-    return rows_.select(F.col("K").alias("s_suppkey"), F.col("B").alias("s_acctbal"))
+    """Rows of a database's SELECT, read by four tasks over equal ranges of its keys; the database is a file that all executors see."""
+    balance, beyond = F.col("s_acctbal").cast("double"), ("NaN", "Infinity", "-Infinity")  # what the database's doubles don't hold, by number in X
+    x = F.coalesce(*(F.when(balance == F.lit(v).cast("double"), i) for i, v in enumerate(beyond)))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("K"), F.when(x.isNull(), balance).alias("B"), x.alias("X"))
+    url, query = sinks.write_derby(supplier, shared_path(spark, "jdbc"), "T"), "select * from T where B > 0 or X < 2"
+    low, high = readers.read_jdbc(spark, url, f"select min(K) as LOW, max(K) as HIGH from ({query}) q").first()
+    rows_ = readers.read_jdbc(spark, url, query, None if low is None else ("K", low, high, 4))
+    return rows_.select(F.col("K").alias("s_suppkey"), F.coalesce("B", *(F.when(F.col("X") == i, F.lit(v).cast("double")) for i, v in enumerate(beyond))).alias("s_acctbal"))
 
 
 # Text and files

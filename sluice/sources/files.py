@@ -118,6 +118,13 @@ class Storage:
     def delete(self, path: str) -> bool:
         return self._fs(path).delete(self._path(path), True)
 
+    def local(self, path: str) -> str:
+        """The operating system's path of a file or folder that is there; fails on other file systems than file:."""
+        uri = self._fs(path).resolvePath(self._path(path)).toUri()
+        if uri.getScheme() != "file":
+            raise IOFlowError(f"{path} isn't in a local file system")
+        return uri.getPath()
+
     def copy(self, source: str, target: str) -> None:
         util = self.jvm.org.apache.hadoop.fs.FileUtil
         if not util.copy(self._fs(source), self._path(source), self._fs(target), self._path(target), False, self.conf):

@@ -1,10 +1,17 @@
 import gzip
 import http.server
+import json
+import os
 import queue
+import subprocess
+import sys
 import threading
 import time
+from pathlib import Path
 
+import duckdb
 import pandas as pd
+import pyspark
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.errors import ExcessiveResourcesError, FlowError, FlowTimeout, HttpFlowError, IOFlowError, QueueFlowError, ValidationError, raised
 from sluice.functions import coding, scalars, scheduling
+from sluice.plans import io_catalog
 from sluice.sources import readers, sinks
 from sluice.sources.files import FileSelection, Shard, Storage
 from sluice.sources.warehouse import Options, Query, Warehouse
@@ -159,6 +167,73 @@ def test_jdbc(spark):
     assert readers.read_jdbc(spark, url, "select * from t", ("k", 0, 10, 3)).rdd.getNumPartitions() == 3
 
 
+def suppliers(folder, rows):
+    """A supplier table of (key, balance); what jdbc_rows has to return of it."""
+    frame = pd.DataFrame({"s_suppkey": pd.array([k for k, _ in rows], "Int64"), "s_acctbal": pd.array([None if b is None else repr(b) for _, b in rows], "string")})
+    duckdb.sql(f"COPY (SELECT s_suppkey::BIGINT s_suppkey, s_acctbal::DOUBLE s_acctbal FROM frame) TO '{folder}/supplier.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{folder}/supplier.parquet'")
+    return sorted(con.sql(io_catalog.ORACLES["jdbc_rows"]).fetchall(), key=repr)
+
+
+ON_A_CLUSTER = """
+import json, sys
+from pyspark.sql import SparkSession
+from sluice.plans import io_catalog
+folder = sys.argv[1]
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": f"file://{folder}/shared", "spark.sql.warehouse.dir": f"{folder}/warehouse"}
+rows = io_catalog.jdbc_rows(SparkSession.builder.config(map=conf).getOrCreate(), folder).collect()
+print("ROWS", json.dumps([tuple(r) for r in rows]))
+"""
+
+
+def test_jdbc_rows_on_a_cluster(tmp_path):
+    want = suppliers(tmp_path, [(k, k % 1000 - 99.995) for k in range(3000)])
+    (tmp_path / "home/work").mkdir(parents=True)  # where the executors work
+    for p in Path(pyspark.__path__[0]).iterdir():
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    env = {"PYTHONPATH": str(Path(__file__).resolve().parent.parent), "PYSPARK_PYTHON": sys.executable, "SPARK_HOME": str(tmp_path / "home"), "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    run = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, str(tmp_path)], env=os.environ | env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    said = [line[5:] for line in run.stdout.splitlines() if line.startswith("ROWS")]
+    assert said, run.stderr[-3000:]
+    assert sorted(map(tuple, json.loads(said[0])), key=repr) == want
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [],
+        [(5, None), (None, -1.0)],
+        [(None, 2.5)],
+        [(1, float("nan")), (2, float("inf")), (3, -float("inf")), (None, float("nan")), (4, 1.0)],
+        [(7, 1.5), (7, 1.5), (None, 0.1), (None, None), (-(2**31), 5e-324), (2**31 - 1, 1.7976931348623157e308), (0, -0.0), (3, 0.0), (4, None), (4, 0.1 + 0.2)],
+    ],
+)
+def test_jdbc_rows_of_odd_suppliers(spark, tmp_path, rows):
+    want = suppliers(tmp_path, rows)
+    assert repr(sorted(map(tuple, io_catalog.jdbc_rows(spark, str(tmp_path)).collect()), key=repr)) == repr(want)  # NaN isn't equal to itself
+
+
+def test_jdbc_rows_deals_large_keys_evenly(spark, tmp_path):
+    want = suppliers(tmp_path, [(k, 1.0) for k in range(20_000, 60_000, 10)])
+    parts = io_catalog.jdbc_rows(spark, str(tmp_path)).rdd.glom().map(len).collect()
+    assert sum(parts) == len(want) == 4000 and len(parts) == 4 and max(parts) < 1200
+
+
+def test_derby(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2**40, 7), (None, None, None), (3, -1, None)], "a int, B long, c smallint").repartition(5)
+    url = sinks.write_derby(df, f"file:{tmp_path}/all", 'own "t"')
+    assert sinks.identical(readers.read_jdbc(spark, url, 'select * from "own ""t"""').withColumn("c", F.col("c").cast("smallint")), df)
+    one = sinks.write_derby(df.select("a"), f"file:{tmp_path}/one", "T")
+    assert sorted((r.a for r in readers.read_jdbc(spark, one, "select * from T").collect()), key=str) == [1, 3, None]
+    with pytest.raises(ValueError, match="word"):
+        sinks.write_derby(df.selectExpr("'x' as word"), f"file:{tmp_path}/word", "T")
+    for odd in ("NaN", "Infinity"):
+        with pytest.raises(Exception, match="java.sql.SQL"):
+            sinks.write_derby(spark.sql(f"select double('{odd}') as x"), f"file:{tmp_path}/{odd}", "T")
+
+
 def test_url(spark, tmp_path):
     (tmp_path / "x.txt").write_text("one\ntwo\n")
     (tmp_path / "y.gz").write_bytes(gzip.compress(b"three\n"))
